@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact, near
+from textloom.llm import exact, lines, mixing, near, quality
 from textloom.llm.common import table
 
 
@@ -14,13 +14,28 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selected(table(spark, sf_dir, "documents"), mixing.label_weights(table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_mix_sources": op8_mix_sources,
 }
 
 ORACLE: dict[str, str] = {
@@ -35,4 +50,21 @@ FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE k >= 0.5
     "op5_exact_dedup": """
 SELECT doc_id, keep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id FROM documents
 WHERE text IS NOT NULL AND doc_id IS NOT NULL) WHERE doc_id <> keep_id""",
+    "op3_substring_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS unit FROM documents),
+p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  lower(trim(regexp_replace(line, '[ \t\r\n\f\v]+', ' ', 'g'))) AS norm FROM l),
+u AS (SELECT *, len(string_split(norm, ' ')) AS n_words, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
+  FROM p WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit))
+SELECT doc_id, unit, start, start + length(line) AS stop, n_words, keep_doc_id, keep_unit FROM u
+WHERE doc_id <> keep_doc_id OR unit <> keep_unit""",
+    "op8_mix_sources": r"""
+WITH d AS (SELECT d.doc_id, source, len(string_split(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), ' ')) AS n_tokens,
+  CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 ELSE 1.0 END AS w FROM documents d LEFT JOIN labels l USING (doc_id) WHERE trim(text) <> ''),
+k AS (SELECT *, -ln((('0x' || md5('17-' || doc_id)[1:13])::BIGINT::DOUBLE + 1) / 4503599627370498.0) / w AS key FROM d),
+s AS (SELECT source, sum(n_tokens) AS total, CASE source WHEN 'src0' THEN 0.15::DOUBLE WHEN 'src1' THEN 0.15::DOUBLE WHEN 'src2' THEN 0.1::DOUBLE WHEN 'src3' THEN 0.05::DOUBLE END AS share FROM d GROUP BY source),
+b AS (SELECT source, total, floor(0.6::DOUBLE * sum(total) OVER () * coalesce(share, (1 - sum(share) OVER ()) * total / sum(CASE WHEN share IS NULL THEN total END) OVER ()))::BIGINT AS budget FROM s),
+r AS (SELECT k.*, budget // total AS epochs, budget % total AS rest,
+  sum(n_tokens) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM k JOIN b USING (source))
+SELECT doc_id, source, n_tokens, round(key, 9) AS key, (epochs + (upto <= rest)::INT)::BIGINT AS copies FROM r WHERE epochs + (upto <= rest)::INT > 0""",
 }
