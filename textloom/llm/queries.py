@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact, lines, mixing, near, quality
+from textloom.llm import bpe, exact, lines, mixing, near, quality
 from textloom.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selected(table(spark, sf_dir, "documents"), mixing.label_weights(table(spark, sf_dir, "labels")))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE: dict[str, str] = {
