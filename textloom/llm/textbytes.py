@@ -91,6 +91,11 @@ class Words:
     doc: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    pre: np.ndarray
+
+    def heads(self, n: int) -> np.ndarray:
+        """Hash of the first n bytes of each word."""
+        return ranges(self.pre, self.start, np.minimum(self.start + n, self.end), _BASE)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text number of every k-word window; a text of 1 to k-1 words has one window with all of them."""
@@ -118,4 +123,4 @@ def words(arr: pa.Array, kind: np.ndarray = ALNUM, lower: bool = True) -> Words:
     first = np.searchsorted(start, offs)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     pre = prefix(data.astype(U) + U(1), _BASE)
-    return Words(data, offs, start, end, doc, ranges(pre, start, end, _BASE), first)
+    return Words(data, offs, start, end, doc, ranges(pre, start, end, _BASE), first, pre)
