@@ -61,7 +61,7 @@ def ranges(pre: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarr
 def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array (nulls empty) and its offsets from 0."""
     if arr.null_count:
-        arr = pc.fill_null(arr, "")
+        arr = pc.fill_null(arr, b"" if pa.types.is_binary(arr.type) else "")
     if len(arr) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
