@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, exact, lines, mixing, near, pii, quality, suffix, toxicity
+from textloom.llm import bpe, exact, lines, media, mixing, near, pii, quality, suffix, toxicity
 from textloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selected(table(spark, sf_dir, "documents"), mixing.label_weights(table(spark, sf_dir, "labels")))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_mix_sources": op8_mix_sources,
+    "op9_media_columns": op9_media_columns,
     "op10_bpe": op10_bpe,
 }
 
