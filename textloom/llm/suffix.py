@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from textloom.llm.common import cut, join_ids, renamed
 from textloom.llm.textbytes import _WORDS_BASE, SOLID, Words, prefix, ranges, slices, words
 
-LENGTH, ANCHOR, PER_TARGET = 50, 25, 40_000
+LENGTH, ANCHOR, PER_TARGET, CHUNK, RUN_BYTES = 50, 25, 40_000, 8_000, 16 << 20
 
 
 def owners(w: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int,
                 left.append(flat[begin[a] : begin[k]])
                 meta.append((ids[d], k - w.first[d], k - a, k - b))
                 held += len(key[-1])
-        if held > 64 << 20:
+        if held > RUN_BYTES:
             held = 0
             yield flush()
     if key:
@@ -224,42 +224,61 @@ def _decoded(row: dict, base: int) -> Iterator[tuple[bytes, int, int]]:
         yield last, s, base + k
 
 
-def _merged(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    targets: dict[int, list[dict]] = {}
+def _by_target(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The pieces of each target; rows come sorted by target, so one target is held at a time."""
+    rows: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            targets.setdefault(row["target"], []).append(row)
-    for rows in targets.values():
+        for k in range(len(batch)):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if rows and row["target"] != rows[0]["target"]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _merged(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    for rows in _by_target(batches):
         base = np.concatenate([[0], np.cumsum([r["n"] for r in rows])])
+        col = {c: np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("doc_id", np.int64), ("word", np.int32), ("before", np.int32), ("after", np.int32))}
+        left = b"\n".join(r["left_text"] for r in rows)
+        ends = np.append(np.flatnonzero(np.frombuffer(left, np.uint8) == 10), len(left))
         common, order = [], []
         for suffix, shared, what in LoserTree([_decoded(r, int(b)) for r, b in zip(rows, base, strict=False)]):
-            common.append(suffix.count(b" ", 0, shared))  # whole words, as each ends with a space
+            n = suffix.count(b" ", 0, shared)  # whole words, as each ends with a space
+            if len(order) >= CHUNK and n < anchor:  # no window reaches across: what came before is complete
+                yield _removed(np.array(order), np.array(common), col, left, ends, length, anchor)
+                common, order = [], []
+            common.append(n)
             order.append(what)
-        order, common = np.array(order), np.array(common)
-        col = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])[order]  # noqa: B023,E731
-        doc, word, before, after = col("doc_id", np.int64), col("word", np.int32), col("before", np.int32), col("after", np.int32)
-        lines = [x for r in rows for x in r["left_text"].split(b"\n")]
-        lw = words(pa.array([lines[k] for k in order], pa.binary()), SOLID, lower=False)
-        pre, last = prefix(lw.hash, _WORDS_BASE), lw.first[1:]
-        removed = np.zeros((len(order), length - anchor + 1), bool)
-        for d in range(length - anchor + 1):  # windows that begin d words before the anchor
-            k = np.flatnonzero((after <= d) & (d <= before))
-            if len(k) < 2:
-                continue
-            right = np.cumsum(common < length - d)[k]
-            hist = ranges(pre, last[k] - d, last[k], _WORDS_BASE)
-            s = np.lexsort((word[k], doc[k], hist, right))
-            k, right, hist = k[s], right[s], hist[s]
-            new = np.concatenate([[True], (right[1:] != right[:-1]) | (hist[1:] != hist[:-1])])
-            first = k[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-            removed[k, d] = (doc[k] != doc[first]) | (word[k] != word[first])
-        # stretches of removed windows of an anchor, as (first window, last window)
-        pad = np.zeros((len(order), removed.shape[1] + 2), np.int8)
-        pad[:, 1:-1] = removed
-        step = np.diff(pad, axis=1)
-        i, a = np.nonzero(step == 1)
-        _, b = np.nonzero(step == -1)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array((word[i] - b + 1).astype(np.int64)), pa.array((word[i] - a).astype(np.int64))], ["doc_id", "first", "last"])
+        yield _removed(np.array(order), np.array(common), col, left, ends, length, anchor)
+
+
+def _removed(order: np.ndarray, common: np.ndarray, col: dict[str, np.ndarray], left: bytes, ends: np.ndarray, length: int, anchor: int) -> pa.RecordBatch:
+    """Stretches of removed windows of merged suffixes, as (first, last) windows; common: words shared with the suffix before."""
+    doc, word, before, after = (col[c][order] for c in ("doc_id", "word", "before", "after"))
+    begin = np.where(order > 0, ends[order - 1] + 1, 0)
+    lw = words(pa.array([left[a:b] for a, b in zip(begin.tolist(), ends[order].tolist(), strict=True)], pa.binary()), SOLID, lower=False)
+    pre, last = prefix(lw.hash, _WORDS_BASE), lw.first[1:]
+    removed = np.zeros((len(order), length - anchor + 1), bool)
+    for d in range(length - anchor + 1):  # windows that begin d words before the anchor
+        k = np.flatnonzero((after <= d) & (d <= before))
+        if len(k) < 2:
+            continue
+        right = np.cumsum(common < length - d)[k]
+        hist = ranges(pre, last[k] - d, last[k], _WORDS_BASE)
+        s = np.lexsort((word[k], doc[k], hist, right))
+        k, right, hist = k[s], right[s], hist[s]
+        new = np.concatenate([[True], (right[1:] != right[:-1]) | (hist[1:] != hist[:-1])])
+        first = k[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+        removed[k, d] = (doc[k] != doc[first]) | (word[k] != word[first])
+    pad = np.zeros((len(order), removed.shape[1] + 2), np.int8)
+    pad[:, 1:-1] = removed
+    step = np.diff(pad, axis=1)
+    i, a = np.nonzero(step == 1)
+    _, b = np.nonzero(step == -1)
+    return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array((word[i] - b + 1).astype(np.int64)), pa.array((word[i] - a).astype(np.int64))], ["doc_id", "first", "last"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int | None = None) -> DataFrame:
@@ -275,12 +294,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int | None = N
     splitters = np.zeros(0, np.int64)
     if targets > 1:
         at = [k / targets for k in range(1, targets)]
-        splitters = np.unique(np.array(again.agg(F.percentile_approx("head", at, 10_000)).first()[0], np.int64))
+        splitters = np.unique(np.array(again.agg(F.percentile_approx("head", at, max(10_000, 4 * targets))).first()[0], np.int64))
     wanted = cut(again.groupBy("doc_id").agg(F.collect_set("word").alias("anchors")), "wanted")
     texts = join_ids(src, wanted, "doc_id", "inner").select("doc_id", "text", "anchors")
     runs = texts.mapInArrow(lambda it: _runs(it, splitters, length, anchor), RUN)
     width = max(len(splitters) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = runs.repartition(width, "target").mapInArrow(lambda it: _merged(it, length, anchor), "doc_id bigint, first bigint, last bigint")
+    found = runs.repartition(width, "target").sortWithinPartitions("target").mapInArrow(lambda it: _merged(it, length, anchor), "doc_id bigint, first bigint, last bigint")
     ends = found.select("doc_id", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     w = W.partitionBy("doc_id").orderBy("start", "stop")
     island = F.when(F.col("start") > F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)
