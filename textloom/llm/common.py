@@ -44,6 +44,14 @@ def join_ids(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -
     return big.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = "_" + name
+    return name
+
+
 def renamed(df: DataFrame, **cols: str) -> DataFrame:
     """Only the columns an operator reads, under private names; a column the table lacks becomes null."""
     kinds = {"doc_id": "bigint", "text": "string"}

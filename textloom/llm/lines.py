@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, renamed
+from textloom.llm.common import cut, private, renamed
 from textloom.llm.textbytes import _WORDS_BASE, SOLID, U, mix, prefix, ranges, slices, words
 
 MIN_WORDS = 5
@@ -72,13 +72,16 @@ def repeats(docs: DataFrame, paragraphs: bool = False, min_words: int = MIN_WORD
 
 
 def without_repeats(docs: DataFrame, paragraphs: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the removed units cut from text; column kept_spans has the original places of what stays."""
-    cuts = cut(repeats(docs, paragraphs, min_words).groupBy(F.col("doc_id").alias("cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")), "cuts")
-    joined = docs.join(cuts, docs["doc_id"] == cuts["cut_id"], "left")
-    stops = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length(docs["text"]).cast("bigint")))
-    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("cuts", lambda c: c["stop"] + 1))
+    """docs with the removed units cut from text; column kept_spans (replacing one of
+    that name) has the original places of what stays."""
+    at, mine, kept = (private(docs, c) for c in ("cut_id", "cuts", "kept"))
+    cuts = cut(repeats(docs, paragraphs, min_words).groupBy(F.col("doc_id").alias(at)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(mine)), "cuts")
+    joined = docs.join(cuts, docs["doc_id"] == cuts[at], "left")
+    size = F.length("text").cast("bigint")
+    stops = F.concat(F.transform(mine, lambda c: c["start"]), F.array(size))
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(mine, lambda c: c["stop"] + 1))
     spans = F.filter(F.zip_with(begins, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop"))), lambda s: s["start"] < s["stop"])
-    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.length(docs["text"]).cast("bigint").alias("stop")))
-    joined = joined.withColumn("kept_spans", F.when(cuts["cut_id"].isNotNull(), spans).when(F.length(docs["text"]) > 0, whole))
-    text = F.when(cuts["cut_id"].isNull(), docs["text"]).otherwise(F.array_join(F.transform("kept_spans", lambda s: F.substr(docs["text"], (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))), ""))
-    return joined.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns if c != "kept_spans"], "kept_spans")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), size.alias("stop")))
+    joined = joined.withColumn(kept, F.when(F.col(at).isNotNull(), spans).when(F.length("text") > 0, whole))
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: F.substr("text", (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))), ""))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "kept_spans"], F.col(kept).alias("kept_spans"))

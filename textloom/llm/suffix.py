@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textloom.llm.common import cut, join_ids, renamed
+from textloom.llm.common import cut, join_ids, private, renamed
 from textloom.llm.textbytes import _WORDS_BASE, SOLID, Words, prefix, ranges, slices, words
 
 LENGTH, ANCHOR, PER_TARGET, CHUNK, RUN_BYTES = 50, 25, 40_000, 8_000, 16 << 20
@@ -309,7 +309,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int | None = N
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans' words, and the white space after each, cut from text."""
-    cuts = cut(spans.groupBy(F.col("doc_id").alias("cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")), "cuts")
+    at, mine, new = (private(docs, c) for c in ("cut_id", "cuts", "cut_text"))
+    cuts = cut(spans.groupBy(F.col("doc_id").alias(at)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(mine)), "cuts")
 
     @F.arrow_udf("string")
     def less(text: pa.Array, cut_at: pa.Array) -> pa.Array:
@@ -327,5 +328,5 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out.append(data[keep].tobytes().decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    joined = docs.join(cuts, docs["doc_id"] == cuts["cut_id"], "left").withColumn("cut_text", less(docs["text"], cuts["cuts"]))
-    return joined.select(*[F.col("cut_text").alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    joined = docs.join(cuts, docs["doc_id"] == cuts[at], "left").withColumn(new, less(F.col("text"), F.col(mine)))
+    return joined.select(*[F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
