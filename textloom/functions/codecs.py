@@ -120,3 +120,9 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
 @F.pandas_udf(T.IntegerType())
 def murmur3(text: pd.Series) -> pd.Series:
     return text.map(_null(lambda t: murmur3_32(t.encode("utf-8")))).astype("Int32")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def cumulated(values: pd.Series) -> pd.Series:
+    """Prefix sums of each array."""
+    return values.map(_null(np.cumsum))

@@ -6,14 +6,12 @@ document ids; a row's size is bounded whatever the corpus. Windows run inside a
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from textloom.functions import text as T
+from textloom.functions.codecs import cumulated
 
 BLOCK = 1 << 20
 
@@ -40,12 +38,6 @@ def deltas(posting: DataFrame) -> DataFrame:
     return posting.select("term", "block", "df", gaps.alias("gaps"))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def cumulated(gaps: pd.Series) -> pd.Series:
-    """Prefix sums of each array."""
-    return gaps.map(lambda g: None if g is None else np.cumsum(g))
-
-
 def undelta(coded: DataFrame) -> DataFrame:
     """postings back from gaps, by prefix sums."""
     return coded.select("term", "block", "df", cumulated("gaps").alias("docs"))

@@ -11,38 +11,33 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("is_excl", "is_quest", "is_dot", "next_upper", "next_space", "prev_word_len", "words_since", "prev_word_upper", "prev_dot", "is_last", "prev_digit", "next_dot")
+from textloom.functions import text as T
+from textloom.functions.codecs import cumulated
 
+FEATURES = ("is_excl", "is_quest", "is_dot", "next_upper", "next_space", "prev_word_len", "words_since", "prev_word_upper", "prev_dot", "is_last", "prev_digit", "next_dot")
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 1), ch of every sentence-end character.
 
-    The text is cut after each end character, so a position is a running sum of piece lengths: linear in the text."""
-    pieces = docs.where("text is not null").select("doc_id", F.regexp_extract_all("text", F.lit("[^.?!]*[.?!]"), F.lit(0)).alias("p"))
-    rows = pieces.select("doc_id", F.posexplode("p").alias("k", "piece"))
-    from pyspark.sql import Window as W
+def pieces(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, piece, nxt, before: the text cut after each end character, with the place of the cut and the characters around it.
 
-    w = W.partitionBy("doc_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    return rows.select("doc_id", F.sum(F.length("piece")).over(w).alias("pos"), F.right("piece", F.lit(1)).alias("ch"), "piece", "k")
+    All inside the document's row: only the pieces' lengths leave the JVM, for their running sum, and nothing is shuffled."""
+    cut = F.regexp_extract_all("text", F.lit("[^.?!]*[.?!]|[^.?!]+$"), F.lit(0))
+    rows = T.once(docs.where("text is not null").select("doc_id", "text"), "p", cut).drop("text")
+    rows = rows.withColumn("pos", cumulated(F.transform("p", lambda x: F.length(x).cast("bigint"))))
+    near = lambda i: F.coalesce(F.get("p", i), F.lit(""))
+    each = F.transform("p", lambda x, i: F.struct(F.get("pos", i).alias("pos"), x.alias("piece"), F.left(near(i + 1), F.lit(1)).alias("nxt"), F.right(near(i - 1), F.lit(1)).alias("before")))
+    return rows.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.*")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, pos and the features of each candidate.
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, pos (from 1), ch of every sentence-end character."""
+    ch = F.right("piece", F.lit(1))
+    return pieces(docs).where(ch.isin(".", "?", "!")).select("doc_id", "pos", ch.alias("ch"))
 
-    A candidate's features need the piece of text that ends with it and the one character after it, so they come from the
-    pieces and a lead over them; the text itself isn't carried along."""
-    from pyspark.sql import Window as W
 
-    cut = F.regexp_extract_all("text", F.lit("[^.?!]*[.?!]|[^.?!]+$"), F.lit(0))
-    rows = docs.where("text is not null").select("doc_id", F.posexplode(cut).alias("k", "piece"))
-    w = W.partitionBy("doc_id").orderBy("k")
-    every = rows.select(
-        "doc_id", "piece",
-        F.sum(F.length("piece")).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("pos"),
-        F.coalesce(F.left(F.lead("piece").over(w), F.lit(1)), F.lit("")).alias("nxt"),
-        F.coalesce(F.right(F.lag("piece").over(w), F.lit(1)), F.lit("")).alias("before"),
-    )
-    ends = every.where(F.right("piece", F.lit(1)).isin(".", "?", "!"))
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, pos and the features of each candidate: they need the piece that ends with it and the characters around."""
+    ends = pieces(docs).where(F.right("piece", F.lit(1)).isin(".", "?", "!"))
     ch, body = F.right("piece", F.lit(1)), F.left("piece", F.length("piece") - 1)
     prev = F.when(F.length(body) > 0, F.right(body, F.lit(1))).otherwise(F.col("before"))
     word = F.substring_index(body, " ", -1)

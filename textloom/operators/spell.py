@@ -78,10 +78,10 @@ def correct(words: DataFrame, dictionary: DataFrame, model: DataFrame, k: int =
     nothing else is. A word of the dictionary is its own candidate with no edits. Ties go to the nearer, then the first by name."""
     total = dictionary.agg(F.sum("cnt").alias("total"))
     near = candidates(words, dictionary, k).withColumn("script", edits("q", "word"))
-    edge = near.select("q", "word", F.explode_outer("script").alias("e")).select("q", "word", "e.op", "e.a", "e.b")
+    edge = near.select("q", "word", "dist", F.explode_outer("script").alias("e")).select("q", "word", "dist", "e.op", "e.a", "e.b")
     priced = edge.join(F.broadcast(model.select("op", "a", "b", "p")), ["op", "a", "b"], "left")
     cost = F.sum(F.when(F.col("op").isNull(), 0.0).otherwise(F.log(F.coalesce("p", F.lit(unseen)))))
-    scored = priced.groupBy("q", "word").agg(cost.alias("log_edit")).join(near.select("q", "word", "dist"), ["q", "word"]).join(dictionary.select("word", "cnt"), "word")
+    scored = priced.groupBy("q", "word", "dist").agg(cost.alias("log_edit")).join(dictionary.select("word", "cnt"), "word")
     scored = scored.join(F.broadcast(total), F.lit(True)).withColumn("score", F.col("log_edit") + F.log(F.col("cnt") / F.col("total")))
     scored = scored.withColumn("unlikely", F.col("log_edit") < F.log(F.lit(floor)))
     best = W.partitionBy("q").orderBy("unlikely", F.desc("score"), "dist", "word")

@@ -100,7 +100,7 @@ c AS (SELECT *, split_part(body, ' ', -1) AS word, CASE WHEN length(body) > 0 TH
 
 @query(PIECES + " SELECT doc_id, pos, ch FROM c")
 def sentence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.candidates(table(spark, sf_dir, "documents")).select("doc_id", "pos", "ch")
+    return S.candidates(table(spark, sf_dir, "documents"))
 
 
 @query(PIECES + """ SELECT doc_id, pos, (ch = '!')::BIGINT AS is_excl, (ch = '?')::BIGINT AS is_quest, (ch = '.')::BIGINT AS is_dot,
