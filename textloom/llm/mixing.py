@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textloom.llm.common import cut, private, renamed
+from textloom.llm.common import BROADCAST_IDS, cut, private, renamed
 
 SEED, PER_BUCKET, DEFAULT_WEIGHT = 17, 20_000, 1.0
 #: Target shares of the mixture; all other sources share the rest in proportion to their tokens.
@@ -87,5 +87,6 @@ def mixed(docs: DataFrame, weights: DataFrame | None, targets: dict[str, float]
     at, n, copy = (private(docs, c) for c in ("mix_id", "copies", "mix_copy"))
     picked = selected(docs, weights, targets, budget, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
     taken = cut(picked.select(F.col("doc_id").alias(at), F.col("copies").alias(n)), "taken")
-    out = docs.join(taken, docs["doc_id"] == taken[at])
+    ids = F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken
+    out = docs.join(ids, docs["doc_id"] == taken[at])
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
