@@ -48,9 +48,12 @@ class Encoder:
         self.begin = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.byte_id = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
         self._pairs()
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the memory of words: each has a number, and by number its tokens lie one after another in a flat array."""
         self.known: dict[str, int] = {}
-        self.pool_at: list[int] = [0]
-        self.pool: list[np.ndarray] = []
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _pairs(self) -> None:
         """Open-addressing table (left id, right id) -> id of the joined token, which is also its rank."""
@@ -171,29 +174,24 @@ class Encoder:
                 flat = got[got >= 0]
                 for k, x in zip(some, np.split(flat, np.cumsum(lens)[:-1]), strict=True):
                     found[k] = x
-        for w, x in zip(new, found, strict=True):
-            self.known[w] = len(self.pool)
-            self.pool.append(x.astype(np.int32))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, *[x.astype(np.int32) for x in found]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts in a row, and how many each has."""
         if len(self.known) > CACHE:
-            self.known, self.pool = {}, []
+            self._forget()
         words = [self.find(t) if t else [] for t in texts]
         known = self.known
         new = {w for ws in words for w in ws if w not in known}
         if new:
             self.learn(sorted(new))
         at = np.fromiter((known[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
-        # of the pool only the words of this batch are laid out
-        used, at = np.unique(at, return_inverse=True)
-        parts = [self.pool[k] for k in used]
-        lens = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        begin = np.concatenate([[0], np.cumsum(lens)[:-1]]) if parts else lens
-        n = lens[at]
+        begin = self.ends[at]
+        n = self.ends[at + 1] - begin
         ends = np.cumsum(n)
-        out = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - begin[at], n)]
+        out = self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - begin, n)]
         per = np.array([len(ws) for ws in words])
         edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
         return out, np.diff(edge)
