@@ -10,6 +10,7 @@ from textloom.functions.edits import edits
 from textloom.operators import sentences as S
 from textloom.operators import spell
 from textloom.plans.registry import query
+from textloom.plans.search import documents
 from textloom.storage import table
 
 CW = "WITH w AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM conversations WHERE text IS NOT NULL), u AS (SELECT unnest(w) AS word FROM w)"
@@ -100,14 +101,14 @@ c AS (SELECT *, split_part(body, ' ', -1) AS word, CASE WHEN length(body) > 0 TH
 
 @query(PIECES + " SELECT doc_id, pos, ch FROM c")
 def sentence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.candidates(table(spark, sf_dir, "documents"))
+    return S.candidates(documents(spark, sf_dir))
 
 
 @query(PIECES + """ SELECT doc_id, pos, (ch = '!')::BIGINT AS is_excl, (ch = '?')::BIGINT AS is_quest, (ch = '.')::BIGINT AS is_dot,
 regexp_matches(nxt, '^\\p{Lu}')::BIGINT AS next_upper, (nxt = ' ')::BIGINT AS next_space, length(word) AS prev_word_len, (length(body) - length(replace(body, ' ', '')))::BIGINT AS words_since,
 regexp_matches(word, '^\\p{Lu}')::BIGINT AS prev_word_upper, (prev = '.')::BIGINT AS prev_dot, (nxt = '')::BIGINT AS is_last, regexp_matches(prev, '^[0-9]$')::BIGINT AS prev_digit, (nxt = '.')::BIGINT AS next_dot FROM c""")
 def sentence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.features(table(spark, sf_dir, "documents"))
+    return S.features(documents(spark, sf_dir))
 
 
 @query(PIECES + """, r AS (SELECT doc_id, pos FROM c WHERE nxt <> '.' AND nxt IN ('', ' ')), a AS (SELECT doc_id, list(pos ORDER BY pos) AS ends FROM r GROUP BY doc_id),
@@ -115,7 +116,7 @@ x AS (SELECT d.doc_id, text, coalesce(a.ends, CAST([] AS BIGINT[])) AS ends FROM
 s AS (SELECT doc_id, list_filter(list_transform(range(0, len(ends) + 1), lambda i: ltrim(substr(text, CASE WHEN i = 0 THEN 1 ELSE ends[i] + 1 END, CASE WHEN i = len(ends) THEN length(text) ELSE ends[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE ends[i] END))), lambda y: y <> '') AS s FROM x)
 SELECT doc_id, unnest(range(0, len(s))) AS n, length(unnest(s)) AS n_chars, md5(unnest(s)) AS digest FROM s""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     s = S.split_at(docs, S.rule_ends(S.features(docs)))
     return s.select("doc_id", "n", F.length("sentence").cast("bigint").alias("n_chars"), F.md5("sentence").alias("digest"))
 
@@ -124,7 +125,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT g, true AS f FROM m) SELECT count(*) FILTER (g AND f) AS tp, 0::BIGINT AS fn FROM r""")
 def sentence_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of splitting at every candidate: the ends that a rule (before a space, or the last) agrees with, and those it misses."""
-    feats = S.features(table(spark, sf_dir, "documents"))
+    feats = S.features(documents(spark, sf_dir))
     from pyspark.sql import Window as W
 
     last = F.lead("pos").over(W.partitionBy("doc_id").orderBy("pos")).isNull()
@@ -135,7 +136,7 @@ def sentence_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sentence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A splitter by rule against sentences cut at every end character."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = documents(spark, sf_dir).where("text is not null")
     feats = S.features(docs)
     lists = lambda ends: S.split_at(docs, ends).groupBy(F.col("doc_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda s: s["sentence"]).alias("sentences"))
     return S.score(lists(feats.select("doc_id", "pos")), lists(S.rule_ends(feats)))

@@ -9,7 +9,7 @@ from textloom.functions import codecs as C
 from textloom.functions import text as T
 from textloom.operators import boolquery, index, neardup
 from textloom.plans.registry import query
-from textloom.storage import cut, table
+from textloom.storage import cut, spread, table
 
 WORDS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+')"
 CASED, LOWER = WORDS.format("text"), WORDS.format("lower(text)")
@@ -26,7 +26,7 @@ TERMS = f"WITH t AS (SELECT DISTINCT doc_id, unnest({LOWER}) AS term FROM docume
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(HASHED + """, l AS (SELECT doc_id, len(sig) AS n, unnest(sig) AS h FROM sig),

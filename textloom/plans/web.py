@@ -11,6 +11,7 @@ from textloom.functions.html import page_text
 from textloom.operators import pages as P
 from textloom.operators import segment, urlfeatures
 from textloom.plans.registry import query
+from textloom.plans.search import documents
 from textloom.storage import table
 
 PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
@@ -110,17 +111,17 @@ def page_url_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3)::BIGINT AS n_0,
 ((length(lower(text)) - length(replace(lower(text), 'en', ''))) // 2)::BIGINT AS n_1, ((length(lower(text)) - length(replace(lower(text), '. ', ''))) // 2)::BIGINT AS n_2 FROM documents WHERE text IS NOT NULL""")
 def substr_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.substring_counts(table(spark, sf_dir, "documents"), ["the", "en", ". "])
+    return P.substring_counts(documents(spark, sf_dir), ["the", "en", ". "])
 
 
 @query("SELECT doc_id, floor(list_sum(list_transform(string_split(text, ' '), lambda x: length(x))) / len(string_split(text, ' ')))::BIGINT AS avg_len FROM documents WHERE text IS NOT NULL")
 def avg_word_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.average_word_length(table(spark, sf_dir, "documents"))
+    return P.average_word_length(documents(spark, sf_dir))
 
 
 @query()
 def compress_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.compress_ratio(table(spark, sf_dir, "documents"))
+    return P.compress_ratio(documents(spark, sf_dir))
 
 
 @query("""SELECT page_id, regexp_replace(url, '[!-/:-@\\[-`{-~]', '', 'g') AS bare, trim(regexp_replace(html, '[ \\t\\r\\n]+', ' ', 'g')) = html AS tidy,
@@ -133,7 +134,7 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT term AS word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000""")
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.top_words(table(spark, sf_dir, "documents")).withColumnRenamed("term", "word")
+    return P.top_words(documents(spark, sf_dir)).withColumnRenamed("term", "word")
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,4 +179,4 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gbt_spam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.spam_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return P.spam_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

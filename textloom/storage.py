@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its scan has fewer: a small file with one row group can't be split by the
+    scan. A table of many splits is left alone and isn't shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or where it is unset (tests, one machine) a folder of its own that goes at exit."""
     sc = spark.sparkContext
