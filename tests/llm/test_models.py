@@ -125,6 +125,21 @@ def test_equal_values_stay_linked(spark):
     assert pii.redact(d).columns == d.columns and pii.pseudonymised(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["TOKEN", "API_KEY", "Password", "token", "MY_COMPANY_PRODUCTION_SERVICE_SECRET", "sha256_key"])
+@pytest.mark.parametrize("value", ["9233A8ECFF01234567899233A8ECFF01", "0123456789abcdef", "Zk9" * 10, "aB3/" * 500, "0F" * 1000])
+def test_secrets_of_any_name_and_length_are_replaced_whole(name, value):
+    text, spans = pii.scan(f'{name} = "{value}" and on')
+    ((a, b, kind, new),) = spans
+    assert (a, b, kind) == (len(name) + 4, len(name) + 4 + len(value), "secret") and text == f'{name} = "{new}" and on'
+    assert new != value and len(new) == len(value) and pii.depseudonymise("secret", new) == value and pii._hex(new) == pii._hex(value)
+    assert [(c.isdigit(), c.isupper()) for c in new] == [(c.isdigit(), c.isupper()) for c in value] or pii._hex(value)
+
+
+def test_a_huge_secret_takes_linear_time():
+    value = "aB3_" * 100_000
+    assert pii.depseudonymise("secret", pii.scan("key=" + value)[1][0][3]) == value
+
+
 def test_mixture_equals_a_loop(spark):
     rng = random.Random(4)
     rows = [(k, "w " * rng.randint(1, 30), "en", rng.choice(["src0", "src1", "x", None])) for k in range(300)] + [(None, "a b", "en", "x"), (400, None, "en", "x"), (401, " ", "en", "x"), (5, "again", "en", "x")]

@@ -1,8 +1,8 @@
 """Personal data replaced by format-preserving Feistel pseudonyms.
 
 Found values: e-mail addresses, phone numbers, payment cards (Luhn), IBANs (mod 97), IPv4 addresses, US social security numbers,
-dates (of the calendar) and secrets (long hexadecimal or mixed tokens assigned to a name such as token, key or password). A value is
-ranked as an integer among the values of its format, permuted by a keyed Feistel network with cycle walking, and written in the same
+dates (of the calendar) and secrets (long hexadecimal or mixed tokens of any length assigned to a name that ends in token, key, secret or
+password, in upper or lower case). A value is ranked as an integer among the values of its format, permuted by a keyed Feistel network with cycle walking, and written in the same
 format: separators, letter case, length, prefixes and check digits stay valid. The permutation depends only on key, kind and
 format, so equal values have equal pseudonyms in all documents, different values different ones, and depseudonymise() inverts it.
 
@@ -22,6 +22,7 @@ import re
 from datetime import date
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,12 @@ from textloom.llm.common import renamed
 #: In production the key comes from a secret store; the pseudonyms are linkable only with the same key.
 KEY = b"textloom-pseudonym-key"
 ROUNDS, CARD_LIKE = 8, (15, 16)
+#: Values with more permuted characters are permuted as strings: arithmetic on one number of that many digits is quadratic.
+WIDE = 512
 
 FIND = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
-    r"|(?P<secret>\b(?:[A-Za-z_]{0,20}(?:token|secret|password|passwd|api_?key|apikey|key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<secret_value>[A-Za-z0-9+/_-]{16,512}))"
+    r"|(?P<secret>(?i:token|secret|password|passwd|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<secret_value>[A-Za-z0-9+/_-]{16,}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
     r"|(?P<date>(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9]))"
@@ -43,7 +46,7 @@ FIND = re.compile(
     r"|(?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]))"
 )
 #: A text without any of these has nothing to find.
-HINT = re.compile(r"[0-9@]|[tT]oken|[sS]ecret|[pP]assw|[kK]ey")
+HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
 
 
 def _round(key: bytes, tweak: bytes, k: int, x: int, m: int) -> int:
@@ -55,9 +58,7 @@ def permute(x: int, n: int, key: bytes, tweak: bytes, back: bool = False) -> int
     """A keyed permutation of range(n): an alternating Feistel network on a x b >= n, walked until inside."""
     if n < 2:
         return x
-    a = 1
-    while a * a < n:
-        a <<= 1
+    a = 1 << ((n - 1).bit_length() + 1) // 2  # the least power of 2 with a * a >= n
     b = -(-n // a)
     while True:
         left, right = divmod(x, b)  # left < a, right < b
@@ -80,6 +81,8 @@ def _alphabet(s: str, digits: str = "0123456789") -> list[str]:
 def _chars(s: str, kind: str, key: bytes, back: bool, alphabets: list[str] | None = None) -> str:
     """Every character permuted within its alphabet (others stay), the string as one number."""
     alphabets = alphabets or _alphabet(s)
+    if sum(len(a) > 1 for a in alphabets) > WIDE:
+        return _long(s, kind, key, back, alphabets)
     n, x = 1, 0
     for c, a in zip(s, alphabets, strict=True):
         n, x = n * len(a), x * len(a) + a.index(c)
@@ -92,6 +95,31 @@ def _chars(s: str, kind: str, key: bytes, back: bool, alphabets: list[str] | Non
     return "".join(reversed(out))
 
 
+def _long(s: str, kind: str, key: bytes, back: bool, alphabets: list[str]) -> str:
+    """_chars() in linear time: the Feistel network's halves are strings, its sums are taken character by character."""
+    at = [k for k, a in enumerate(alphabets) if len(a) > 1]
+    size = np.array([len(alphabets[k]) for k in at], np.int64)
+    v = np.array([alphabets[k].index(s[k]) for k in at], np.int64)
+    tweak = hashlib.sha256(f"{kind}|{'|'.join(f'{len(a)}' for a in alphabets)}".encode()).digest()
+    mid = len(v) // 2
+    left, right = slice(0, mid), slice(mid, None)
+
+    def network(inverse: bool) -> None:
+        for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+            to, by = (left, right) if k % 2 == 0 else (right, left)
+            mac = hmac.new(key, b"long|%d|%b|" % (k, tweak) + v[by].astype(np.uint8).tobytes(), hashlib.sha256).digest()
+            add = (np.frombuffer(hashlib.shake_256(mac).digest(8 * len(v[to])), np.uint64) % size[to].astype(np.uint64)).astype(np.int64)
+            v[to] = (v[to] + (-add if inverse else add)) % size[to]
+
+    network(False)
+    v[-1] = (v[-1] + (-1 if back else 1)) % size[-1]  # as _moved(): no fixed points
+    network(True)
+    out = list(s)
+    for k, x in zip(at, v.tolist(), strict=True):
+        out[k] = alphabets[k][x]
+    return "".join(out)
+
+
 def _moved(x: int, n: int, key: bytes, tweak: bytes, back: bool) -> int:
     """A keyed permutation without fixed points: one step along the cycle into which permute() orders range(n)."""
     if n < 2:
@@ -212,10 +240,19 @@ def _phone(s: str, key: bytes, back: bool) -> str | None:
     return _into(s, d[:keep] + _chars(d[keep:], f"phone{d[:keep]}", key, back))
 
 
+def _hex(s: str) -> str | None:
+    """The digits of a hexadecimal number, of lower or upper case."""
+    return "0123456789abcdef" if re.fullmatch("[0-9a-f]+", s) else "0123456789ABCDEF" if re.fullmatch("[0-9A-F]+", s) else None
+
+
 def _secret(s: str, key: bytes, back: bool) -> str:
-    if re.fullmatch(r"[0-9a-f]+", s):
-        return _chars(s, "hex", key, back, ["0123456789abcdef"] * len(s))
-    return _chars(s, "secret", key, back)
+    digits = _hex(s)
+    kind = "secret" if digits is None else "hex" if digits.islower() else "HEX"
+    # the form is read from the value, so it is permuted among the values of its form
+    while True:
+        s = _chars(s, kind, key, back, [digits] * len(s) if digits else None)
+        if _hex(s) == digits:
+            return s
 
 
 KINDS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -239,7 +276,7 @@ def scan(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, st
     while m := FIND.search(text, pos):
         kind = m.lastgroup if m.lastgroup != "secret_value" else "secret"
         a, b = m.span("secret_value") if kind == "secret" else m.span()
-        new = pseudonym(kind, text[a:b], key)
+        new = (pseudonym if b - a <= WIDE else pseudonym.__wrapped__)(kind, text[a:b], key)  # long values would fill the cache
         if new is None and kind in ("iban", "card", "ip", "date", "ssn"):
             # not valid as this kind: it may be a phone number
             p = _PHONE.match(text, m.start())
