@@ -140,6 +140,25 @@ def test_a_huge_secret_takes_linear_time():
     assert pii.depseudonymise("secret", pii.scan("key=" + value)[1][0][3]) == value
 
 
+@pytest.mark.parametrize("parts", [
+    [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")], [("phone", "+1 (843) 555-7672"), ("ip", "170.106.47.218")], [("phone", "+49 170 1234567"), ("ip", "10.20.30.40")],
+    [("card", "4111 1111 1111 1111"), (None, "123")], [("phone", "+1 (555) 555-5657"), (None, "2024")], [("phone", "+44 20 7946 0958"), (None, "2024")], [(None, "2024"), ("card", "4111 1111 1111 1111")],
+    [(None, "12"), ("card", "4111 1111 1111 1111")], [("phone", "555-123-4567"), ("phone", "555-765-4321")], [("phone", "+1 (826) 555-4081"), ("phone", "+1 (843) 555-7672"), ("phone", "(555) 123-4567")],
+    [("phone", "+49 170 1234567"), ("date", "2024-02-29")], [("phone", "+49 170 1234567"), ("card", "4111 1111 1111 1111")], [("card", "4111111111111111"), ("phone", "555-123-4567")],
+    [("iban", "GB29 NWBK 6016 1331 9268 19"), (None, "2024")], [("card", "4111 1111 1111 1111"), ("card", "5500 0000 0000 0004")], [("ssn", "123-45-6789"), ("phone", "555-123-4567")],
+    [(None, "999.1.1.1"), ("ip", "10.20.30.40")],
+])
+@pytest.mark.parametrize("before,after", [("", ""), ("call ", " or so")])
+def test_neighbours_of_a_value_are_not_swallowed(parts, before, after):
+    text, spans = pii.scan(before + " ".join(v for _, v in parts) + after)
+    assert [(k, (before + " ".join(v for _, v in parts))[a:b]) for a, b, k, _ in spans] == [(k, v) for k, v in parts if k]
+    assert text == before + " ".join(pii.pseudonym(k, v) if k else v for k, v in parts) + after
+
+
+def test_rows_of_numbers_are_left_alone():
+    assert pii.scan(" ".join(str(k) for k in range(10, 1000)))[1] == []
+
+
 def test_mixture_equals_a_loop(spark):
     rng = random.Random(4)
     rows = [(k, "w " * rng.randint(1, 30), "en", rng.choice(["src0", "src1", "x", None])) for k in range(300)] + [(None, "a b", "en", "x"), (400, None, "en", "x"), (401, " ", "en", "x"), (5, "again", "en", "x")]

@@ -7,7 +7,9 @@ format: separators, letter case, length, prefixes and check digits stay valid. T
 format, so equal values have equal pseudonyms in all documents, different values different ones, and depseudonymise() inverts it.
 
 Numbers: 16-digit groups and others of 13 to 19 digits that pass Luhn become Luhn-valid numbers with a new check digit; those
-that fail it are permuted as plain digits if they have the length of a card (CARD_LIKE), else left alone.
+that fail it are permuted as plain digits if they have the length of a card (CARD_LIKE), else left alone. A match that isn't valid, or takes
+in what follows a value, is cut at the ends of its groups of digits: to the longest card, IBAN, or phone number of its country's length or
+that ends before the next value. Where no cut is valid, the search goes on at the next character.
 
 Defined cases: a null text stays null, an empty one empty, both with no spans; all of a text is scanned; overlapping finds go to the
 earlier and longer; a value is never mapped to itself unless its format has one value; other columns are ignored by
@@ -274,24 +276,101 @@ def scan(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, st
         return text, []
     out, spans, at, pos = [], [], 0, 0
     while m := FIND.search(text, pos):
-        kind = m.lastgroup if m.lastgroup != "secret_value" else "secret"
-        a, b = m.span("secret_value") if kind == "secret" else m.span()
-        new = (pseudonym if b - a <= WIDE else pseudonym.__wrapped__)(kind, text[a:b], key)  # long values would fill the cache
-        if new is None and kind in ("iban", "card", "ip", "date", "ssn"):
-            # not valid as this kind: it may be a phone number
-            p = _PHONE.match(text, m.start())
-            if p and (new := pseudonym("phone", p[0], key)) is not None:
-                kind, a, b = "phone", *p.span()
-        if new is None:
-            pos = m.start() + 1 if kind == "iban" else m.end()
+        found = _valid(text, m, key)
+        if found is None:
+            pos = m.start() + 1
             continue
+        kind, a, b, new = found
         out += [text[at:a], new]
         spans.append((a, b, kind, new))
         at = pos = b
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 
-_PHONE = re.compile(FIND.pattern[FIND.pattern.index("(?P<phone>") :])
+#: Each kind's pattern by itself.
+_KIND = {k: re.compile(p) for k, p in zip(re.findall(r"\(\?P<(\w+)>(?<!secret_value>)", FIND.pattern), re.split(r"\|(?=\(\?P<)", FIND.pattern), strict=True)}
+_NATIONAL = re.compile(r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
+#: Digits of a phone number, with the country code, where a country has one length.
+PHONE_DIGITS = {"1": 11, "7": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10, "48": 11, "61": 11, "91": 12}
+
+
+def _ends(text: str, a: int, b: int) -> list[int]:
+    """Where text[a:b] can end, at the ends of its groups of digits, the longest first."""
+    return [a + m.end() for m in re.finditer("[0-9]+", text[a:b])][::-1]
+
+
+def _digits(s: str) -> str:
+    return re.sub(r"\D", "", s)
+
+
+def _card_end(text: str, m: re.Match) -> int | None:
+    """The end of the longest card in the match: one that passes Luhn, else one of a card's length."""
+    a, b = m.span()
+    inside = re.search(r"[0-9][ -]?$", text[max(a - 2, 0) : a]) is not None  # earlier digits were passed over
+    likely: list[int] = []
+    if inside and len(re.match("[0-9]+", text[a:b])[0]) < 4:
+        return None
+    for end in _ends(text, a, b):
+        groups = re.findall("[0-9]+", text[a:end])
+        # in a row of numbers every tenth choice passes Luhn, so only the whole of it may have small groups
+        if 13 <= sum(map(len, groups)) <= 19 and (end == b and not inside or all(len(g) > 3 for g in groups[:-1])):
+            likely.append(end)
+    good = [end for end in likely if luhn(_digits(text[a:end]))]
+    if good:
+        return good[0]
+    like = next((end for end in likely if len(_digits(text[a:end])) in CARD_LIKE), None)
+    if like is None:
+        return None
+    # it must not take the head of a card that begins at a later group
+    for g in re.finditer("(?<=[ -])[0-9]+", text[a:b]):
+        later = _KIND["card"].match(text, a + g.start())
+        if later and any(len(_digits(text[later.start() : e])) > 12 and luhn(_digits(text[later.start() : e])) and all(len(x) > 3 for x in re.findall("[0-9]+", text[later.start() : e])[:-1]) for e in _ends(text, *later.span())):
+            return None
+    return like
+
+
+def _phone_end(text: str, m: re.Match, key: bytes) -> int | None:
+    """The end of the phone number in the match: of its country's length, else the longest that takes nothing of a value behind it."""
+    a, b = m.span()
+    ends = [end for end in _ends(text, a, b) if 8 <= len(_digits(text[a:end])) <= 15 and _KIND["phone"].fullmatch(text, a, end)]
+    if not ends:
+        return None
+    digits = _digits(text[a:b])
+    if text[a] == "+" and (code := next((c for c in PHONE_DIGITS if digits.startswith(c)), None)):
+        if exact := [end for end in ends if len(_digits(text[a:end])) == PHONE_DIGITS[code]]:
+            return exact[0]
+    for g in re.finditer("(?<=[ .-])[(+]?[0-9]+", text[a:b]):
+        at = a + g.start()
+        # an email, date, ... or card that begins at a group ends the number before it
+        if any(end < at for end in ends) and any((v := p.match(text, at)) and (_card_end(text, v) if k == "card" else pseudonym(k, v[0], key)) for k, p in _KIND.items() if k not in ("phone", "secret")):
+            ends = [end for end in ends if end < at]
+            break
+    clean = [end for end in ends if not re.match("[.-][0-9]", text[end : end + 2])]
+    return next(iter(clean or ends), None)
+
+
+def _valid(text: str, m: re.Match, key: bytes) -> tuple[str, int, int, str] | None:
+    """Kind, place and pseudonym of the value that begins where m does: m's kind first, then the kinds behind it."""
+    kinds = list(_KIND)
+    first = kinds.index(m.lastgroup if m.lastgroup != "secret_value" else "secret")
+    for kind in kinds[first:]:
+        p = _KIND[kind].match(text, m.start())
+        if not p:
+            continue
+        a, b = p.span("secret_value") if kind == "secret" else p.span()
+        if kind == "card":
+            b = None if _NATIONAL.match(text, a) else _card_end(text, p)
+        elif kind == "phone":
+            b = _phone_end(text, p, key)
+        elif kind == "iban":
+            # groups behind it may look like its last ones
+            b = next((a + e.end() for e in [*re.finditer(r"[A-Z0-9]+", p[0])][::-1] if pseudonym(kind, text[a : a + e.end()], key)), None)
+        if b is None:
+            continue
+        # long values would fill the cache
+        if (new := (pseudonym if b - a <= WIDE else pseudonym.__wrapped__)(kind, text[a:b], key)) is not None:
+            return kind, a, b, new
+    return None
 
 
 def _scanner(key: bytes):
