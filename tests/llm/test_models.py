@@ -86,6 +86,35 @@ def test_toxicity_defined_cases(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_thresholds_come_from_all_labels(spark):
+    """A sample of 40 a class, a language with a fiftieth of the toxic labels: it has its own threshold, for the mix of classes of all labels."""
+    rng = random.Random(2)
+    rows, truth = [], []
+    for k in range(3000):
+        toxic, lang = int(k % 5 == 0), "xx" if k % 50 < 6 else "en"
+        rows.append((k, " ".join(rng.choice(["vile", "crud", "calm"] if toxic else ["calm", "kind", "even", "crud"]) for _ in range(6)), lang, "s"))
+        truth.append((k, toxic))
+    docs, labels = spark.createDataFrame(rows, KIND), spark.createDataFrame(truth, "doc_id bigint, toxic int")
+    net = toxicity.train(docs, labels, 40)
+    got = toxicity.toxicity(docs, labels, 40).toPandas().sort_values("doc_id")
+    assert got[got.lang == "xx"].threshold.nunique() == 1 and 0 < len(net.fitted) <= 80
+    y = np.array([t for _, t in truth])
+    for lang in ("en", "xx"):
+        own = (got.lang == lang).to_numpy()
+        held = own & ~got.doc_id.isin(net.fitted).to_numpy()
+        w = np.array([(own & (y == c)).sum() / (held & (y == c)).sum() for c in (0, 1)])[y]
+
+        def f1(c, held=held, w=w):
+            hit = held & (got.score.to_numpy() >= c)
+            return 2 * (w * y)[hit].sum() / (w[hit].sum() + (w * y)[held].sum())
+
+        assert f1(got.threshold[own].iloc[0]) >= max(f1(c) for c in np.unique(got.score[held])) - 0.01
+    scored = spark.createDataFrame([(k, "xx" if k % 100 == 0 else "en", 0.9 if k % 2 else 0.3 + (k % 100 == 0) * 0.4) for k in range(4000)], "doc_id bigint, lang string, score double")
+    net.thresholds, net.fitted = {}, np.arange(100)
+    toxicity.calibrate(net, scored, spark.createDataFrame([(k, int(k % 2 or k % 200 == 0)) for k in range(4000)], "doc_id bigint, toxic int"))
+    assert set(net.thresholds) == {"en", "xx"} and 0.3 < net.thresholds["en"] <= 0.9 and net.thresholds["xx"] < 0.7
+
+
 CASES = [
     ("card", "4111 1111 1111 1111"), ("card", "5500-0000-0000-0004"), ("card", "1234567812345678"), ("iban", "DE89370400440532013000"), ("iban", "GB29 NWBK 6016 1331 9268 19"),
     ("date", "2024-02-29"), ("date", "31.12.1999"), ("date", "12/25/2020"), ("ip", "192.168.0.1"), ("ssn", "123-45-6789"), ("phone", "+49 170 1234567"), ("phone", "(555) 123-4567"),

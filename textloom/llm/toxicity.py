@@ -7,9 +7,9 @@ shorter than a width is padded with zeros), ReLU, the maximum over the text, the
 the gradient of a maximum reaches only the window that has it. The first dimension of the embeddings and the first
 filter of each width start from the log-odds of the table's rows on the training texts.
 
-Fitted on a bounded sample, at most SAMPLE labelled documents of each class in hash order, one fifth of them held out: a
-language's threshold is the cut with the best F1 on its held-out documents, or on those of all languages where it
-has fewer than MIN_CALIBRATION toxic ones. Scoring covers whole texts of all documents.
+Fitted on a bounded sample, at most SAMPLE labelled documents of each class in hash order, one fifth of them held out. A language's
+threshold is the cut with the best F1 on all its labelled documents that the network wasn't fitted on, weighted to the labels' mix of
+classes, or on those of all languages where it has fewer than MIN_CALIBRATION toxic ones; it is chosen from histograms of scores. Scoring covers whole texts of all documents.
 
 Defined cases: a null text or one without a word has score 0 and isn't toxic; without labels of both classes all scores
 are 0; an unknown or null language has the threshold of all languages; a null doc_id is scored like any other; other columns are ignored.
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import renamed
+from textloom.llm.common import cut, renamed
 from textloom.llm.textbytes import U, Words, mix, slices, words
 
-SAMPLE, MIN_CALIBRATION = 2000, 8
+#: BINS: of scores, for each unit of log-odds.
+SAMPLE, MIN_CALIBRATION, BINS = 2000, 8, 50
 ROWS, DIM, HASHES, WIDTHS, FILTERS, HEAD = 1 << 16, 8, 3, (1, 2, 3), 8, 5
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 5
 _SALT = [U(0x51ED270B0A1F39C1), U(0xB492B66FBE98F273), U(0x9AE16A3B2F90404F)]
@@ -52,6 +53,7 @@ class Net:
     out_bias: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
     default: float = 0.5
+    fitted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # identifiers of the training documents
 
     def tables(self) -> list[list[np.ndarray]]:
         """For each width and offset: the filters' response to each table row, hash by hash."""
@@ -170,42 +172,70 @@ def fit(b: np.ndarray, first: np.ndarray, y: np.ndarray) -> Net:
     return net
 
 
-def best_cut(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1, in the middle of the widest such gap."""
-    order = np.argsort(score)
-    s, t = score[order], y[order]
-    tp = np.concatenate([np.cumsum(t[::-1])[::-1], [0]])
-    n = np.arange(len(s), -1, -1)
-    f1 = 2 * tp / np.maximum(n + t.sum(), 1)
-    edge = np.concatenate([[0], s, [1]])
+def best_cut(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The threshold with the best F1, in the middle of the widest such gap; bins of scores in order, with the least and greatest score of each."""
+    tp = np.concatenate([np.cumsum(toxic[::-1])[::-1], [0]])
+    n = tp + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    f1 = 2 * tp / np.maximum(n + toxic.sum(), 1e-9)
+    below, above = np.concatenate([[0], high]), np.concatenate([low, [1]])
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-    k = best[np.argmax(edge[best + 1] - edge[best])]
-    return float(max((edge[k] + edge[k + 1]) / 2, 1e-6))
+    k = best[np.argmax((above - below)[best])]
+    return float(max((below[k] + above[k]) / 2, 1e-6))
+
+
+def known(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of every labelled document."""
+    return labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def calibrate(net: Net, scored: DataFrame, labels: DataFrame) -> None:
+    """Sets the thresholds from all labelled rows of scored (doc_id, lang, score) that the network wasn't fitted on.
+
+    These weigh as much as all labelled rows of their class and language, so that the mix of classes is the labels'."""
+    ids = scored.sparkSession.createDataFrame([(int(k),) for k in net.fitted], "doc_id bigint").withColumn("own", F.lit(True))
+    s = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    rows = scored.where("doc_id is not null").join(known(labels), "doc_id").join(F.broadcast(ids), "doc_id", "left")
+    bins = rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", F.col("own").isNotNull().alias("own"), F.floor(F.log(s / (1 - s)) * BINS).alias("bin"))
+    t = bins.agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).toPandas()
+    if t.empty:
+        return
+
+    def chosen(t) -> float | None:
+        held = t[~t.own]
+        n, h = t.groupby("toxic").n.sum(), held.groupby("toxic").n.sum()
+        if h.get(1, 0) < 1 or h.get(0, 0) < 1:
+            return None
+        by = held.assign(pos=held.n * (held.toxic == 1) * (n[1] / h[1]), neg=held.n * (held.toxic == 0) * (n[0] / h[0])).groupby("bin").agg({"low": "min", "high": "max", "pos": "sum", "neg": "sum"}).sort_index()
+        return best_cut(*(by[c].to_numpy(float) for c in ("low", "high", "pos", "neg")))
+
+    net.default = chosen(t) or net.default
+    for name, own in t.groupby("lang"):
+        if name and own.n[(own.toxic == 1) & ~own.own].sum() >= MIN_CALIBRATION and (value := chosen(own)) is not None:
+            net.thresholds[str(name)] = value
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | None:
     """Fitted on at most sample labelled documents of each class; None where a class has none."""
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    have = known(labels)
     picked = None
     for q in (0, 1):
-        part = known.where(F.col("toxic") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = have.where(F.col("toxic") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionAll(part)
 
     def coded(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "lang", "toxic")] + [pa.ListArray.from_arrays(pa.array(w.first * 2, pa.int32()), pa.array(codes(w).view(np.int64).ravel()))], ["doc_id", "lang", "toxic", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "toxic")] + [pa.ListArray.from_arrays(pa.array(w.first * 2, pa.int32()), pa.array(codes(w).view(np.int64).ravel()))], ["doc_id", "toxic", "words"])
 
-    src = renamed(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and text is not null")
-    rows = src.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "toxic", "text").mapInArrow(coded, "doc_id bigint, lang string, toxic int, words array<bigint>").toArrow().sort_by("doc_id")
+    src = renamed(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
+    rows = src.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(coded, "doc_id bigint, toxic int, words array<bigint>").toArrow().sort_by("doc_id")
     rows = rows.filter(pa.compute.greater(pa.compute.list_value_length(rows["words"]), 0))
     y = rows["toxic"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None
     first = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(rows["words"]).to_numpy() // 2)]).astype(np.int64)
     b = buckets(rows["words"].combine_chunks().flatten().to_numpy().view(U).reshape(-1, 2))
-    lang = np.array([x or "" for x in rows["lang"].to_pylist()])
     held = np.arange(len(y)) % 5 == 4
     if not (y[held].max() == 1 and y[~held].max() == 1 and y[held].min() == 0):
         held[:] = False
@@ -216,13 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | Non
 
     tb, tf = part(~held)
     net = fit(tb, tf, y[~held])
-    pick = held if held.any() else ~held
-    s = net.score(*part(pick))
-    net.default = best_cut(s, y[pick])
-    for name in np.unique(lang):
-        own = lang[pick] == name
-        if name and y[pick][own].sum() >= MIN_CALIBRATION and (y[pick][own] == 0).any():
-            net.thresholds[str(name)] = best_cut(s[own], y[pick][own])
+    # too few for a held-out part: calibrated on all labels
+    net.fitted = np.unique(rows["doc_id"].to_numpy()[~held]) if held.any() else np.zeros(0, np.int64)
     return net
 
 
@@ -240,8 +265,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
             out.append(model.score(buckets(codes(w)), w.first, tables) if model else np.zeros(len(part)))
         return pa.array(np.round(np.concatenate(out), 6))
 
-    cut = F.lit(net.default if net else 1.0)
-    for name, value in (net.thresholds if net else {}).items():
-        cut = F.when(F.col("lang") == name, F.lit(value)).otherwise(cut)
     src = renamed(docs, doc_id="doc_id", text="text", lang="lang")
-    return src.select("doc_id", "lang", score("text").alias("score")).withColumn("threshold", F.round(cut, 6)).withColumn("toxic", F.col("score") >= F.col("threshold"))
+    scored = src.select("doc_id", "lang", score("text").alias("score"))
+    if net:
+        scored = cut(scored, "scores")  # read twice: for the thresholds and for the result
+        calibrate(net, scored, labels)
+    limit = F.lit(net.default if net else 1.0)
+    for name, value in (net.thresholds if net else {}).items():
+        limit = F.when(F.col("lang") == name, F.lit(value)).otherwise(limit)
+    return scored.withColumn("threshold", F.round(limit, 6)).withColumn("toxic", F.col("score") >= F.col("threshold"))
