@@ -170,37 +170,77 @@ def test_loser_tree_sorts_and_knows_prefixes():
         assert shared == suffix.mismatch(a, b, 0)
 
 
-def brute_units(rows):
-    first, every = {}, []
+def brute_passages(rows, length, ends=".!?,;:"):
+    """Removed spans as lines.repeats() gives them, from the texts' words one by one."""
+    first, found = {}, defaultdict(set)
     for i, t in sorted({(i, t) for i, t in rows if i is not None and t}):
-        at = 0
-        for k, line in enumerate(t.split("\n")):
-            w = [x for x in re.split("[ \t\r\f\v]+", line) if x]
-            if len(w) >= 5:
-                key = " ".join(w).lower()
-                keep = first.setdefault(key, (i, k))
-                if keep != (i, k):
-                    every.append((i, k, at, at + len(line), len(w), *keep))
+        units, at = [], 0
+        for line in t.split("\n"):
+            fresh = True
+            for m in re.finditer("[^ \t\r\f\v]+", line):
+                if fresh:
+                    units.append([])
+                units[-1].append((m[0].lower(), at + m.start(), at + m.end()))
+                fresh = bool(ends) and m[0][-1] in ends
             at += len(line) + 1
-    return sorted(every)
+        before = 0
+        for k in range(len(units)):
+            m, w = k, []
+            while m < len(units) and len(w) < length:
+                w, m = w + units[m], m + 1
+            if len(w) >= length:
+                keep = first.setdefault(" ".join(x[0] for x in w), (i, k))
+                if keep != (i, k):
+                    found[i].add((before, k, m - 1, w[0][1], w[-1][2], before + len(w), *keep))
+            before += len(units[k])
+    out = []
+    for i, passages in found.items():
+        reach = -1
+        for word, k, last, start, stop, end, *keep in sorted(passages):
+            if word > reach:
+                out.append([i, k, last, start, stop, word, end, *keep])
+            else:
+                out[-1][2], out[-1][4], out[-1][6] = last, stop, end
+            reach = end
+    return sorted((i, k, last, start, stop, end - word, *keep) for i, k, last, start, stop, word, end, *keep in out)
+
+
+LINES = [
+    (960, "ÀÉ ñ one two three, four\nother line"),
+    (961, "x\n àé  ñ one TWO three, four five"),
+    (962, "start in the middle of " + "a passage. It has parts, some long: others short! Then it goes on " * 2 + "and ends somewhere else"),
+    (963, "Another beginning with a passage. It has parts, some long: others short! Then it goes on to other things\nthis is a hot line of boilerplate"),
+    (964, "this is a hot line of boilerplate\nclean text of its own that nobody has copied from anywhere at all"),
+]
+
+
+@pytest.mark.parametrize("kind,length", [(lines.PART, 30), (lines.PART, 8), (lines.LINE, 6)])
+def test_passages_equal_brute_force(spark, kind, length):
+    rows = corpus(6) + ODD + LINES
+    got = sorted(tuple(r) for r in lines.repeats(frame(spark, rows), kind, length).select("doc_id", "unit", "last_unit", "start", "stop", "n_words", "keep_doc_id", "keep_unit").collect())
+    assert got == brute_passages(rows, length, ".!?,;:" if kind == lines.PART else "") and len(got) > 10
 
 
-def test_line_repeats_equal_brute_force(spark):
-    rows = corpus(6) + ODD + [(960, "ÀÉ ñ one two three\nother line"), (961, "x\n àé  ñ one TWO three")]
-    got = sorted(tuple(r) for r in lines.repeats(frame(spark, rows)).select("doc_id", "unit", "start", "stop", "n_words", "keep_doc_id", "keep_unit").collect())
-    assert got == brute_units(rows) and len(got) > 10
+def test_passage_inside_lines_is_found_and_stock_lines_are_not(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+    passage, stock = say(60), "all rights reserved by the owners of this page"
+    rows = [(k, f"{say(20)} {passage} {say(20)}\n{stock}" if k % 2 else f"{say(40)}\n{stock}\n{say(9)}") for k in range(20)]
+    got = lines.repeats(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(3, 20, 2)) and {r.keep_doc_id for r in got} == {1}
+    assert all(dict(rows)[r.doc_id][r.start : r.stop] in passage for r in got)
 
 
-def test_lines_are_cut_with_offsets(spark):
+def test_spans_of_lines_are_cut_with_offsets(spark):
     d = frame(spark, [(1, "a b c d e\nkeep me"), (2, "first\nA b  c d e\nlast"), (3, None), (4, "")])
-    got = {r.doc_id: r for r in lines.without_repeats(d).collect()}
-    assert got[1].text == "a b c d e\nkeep me" and got[2].text == "first\nlast" and got[3].text is None and got[4].text == ""
-    assert ["first\nA b  c d e\nlast"[s.start : s.stop] for s in got[2].kept_spans] == ["first\n", "last"]
+    got = {r.doc_id: r for r in lines.without_repeats(d, length=5).collect()}
+    assert got[1].text == "a b c d e\nkeep me" and got[2].text == "first\n\nlast" and got[3].text is None and got[4].text == ""
+    assert ["first\nA b  c d e\nlast"[s.start : s.stop] for s in got[2].kept_spans] == ["first\n", "\nlast"]
 
 
 def test_paragraphs(spark):
     d = frame(spark, [(1, "one two three\nfour five\n\nrest"), (2, "intro\n \none  two three four five")])
-    assert [(r.doc_id, r.unit) for r in lines.repeats(d, paragraphs=True).collect()] == [(2, 1)]
+    assert [(r.doc_id, r.unit) for r in lines.repeats(d, lines.PARAGRAPH, 5).collect()] == [(2, 1)]
 
 
 OPS = {

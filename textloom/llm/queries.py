@@ -83,13 +83,20 @@ s AS (SELECT doc_id, i, CASE WHEN i > 50 + max(i) OVER (PARTITION BY doc_id ORDE
 g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM s)
 SELECT doc_id, min(i) AS start, max(i) + 50 AS stop, max(i) + 50 - min(i) AS n_words FROM g GROUP BY doc_id, island""",
     "op3_substring_dedup": r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS unit FROM documents),
-p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-  lower(trim(regexp_replace(line, '[ \t\r\n\f\v]+', ' ', 'g'))) AS norm FROM l),
-u AS (SELECT *, len(string_split(norm, ' ')) AS n_words, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
-  FROM p WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit))
-SELECT doc_id, unit, start, start + length(line) AS stop, n_words, keep_doc_id, keep_unit FROM u
-WHERE doc_id <> keep_doc_id OR unit <> keep_unit""",
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[ \t\r\n\f\v]*[^ \t\r\n\f\v]+') AS raw FROM documents),
+w AS (SELECT doc_id, unnest(raw) AS raw, unnest(range(0, len(raw))) AS i FROM t),
+p AS (SELECT doc_id, i, raw, regexp_replace(raw, '^[ \t\r\n\f\v]+', '') AS word, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS stop FROM w),
+b AS (SELECT *, (contains(raw, chr(10)) OR coalesce(regexp_matches(lag(word) OVER (PARTITION BY doc_id ORDER BY i), '[.!?,;:]$'), true))::INT AS begins FROM p),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM b),
+u AS (SELECT doc_id, u - min(u) OVER (PARTITION BY doc_id) AS unit, min(i) AS a, max(i) + 1 AS b, arg_min(stop - length(word), i) AS start, max(stop) AS stop FROM n GROUP BY doc_id, u),
+d AS (SELECT doc_id, list(lower(word) ORDER BY i) AS words FROM p GROUP BY doc_id),
+k AS (SELECT x.doc_id, x.unit, y.unit AS last, x.a, y.b, x.start, y.stop FROM u x ASOF JOIN u y ON x.doc_id = y.doc_id AND x.a + 30 <= y.b),
+f AS (SELECT k.*, array_to_string(words[a + 1 : b], ' ') AS norm FROM k JOIN d USING (doc_id)),
+r AS (SELECT doc_id, unit, last, a, b, start, stop, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit FROM f WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)),
+s AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM r WHERE doc_id <> keep_doc_id OR unit <> keep_unit),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS island FROM s)
+SELECT doc_id, min(unit)::BIGINT AS unit, max(last)::BIGINT AS last_unit, min(start) AS start, max(stop) AS stop, max(b) - min(a) AS n_words,
+  arg_min(keep_doc_id, a) AS keep_doc_id, arg_min(keep_unit, a)::BIGINT AS keep_unit FROM g GROUP BY doc_id, island""",
     "op8_mix_sources": r"""
 WITH d AS (SELECT d.doc_id, source, len(string_split(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), ' ')) AS n_tokens,
   CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 ELSE 1.0 END AS w FROM documents d LEFT JOIN labels l USING (doc_id) WHERE trim(text) <> ''),
