@@ -57,7 +57,7 @@ def test_near_pairs_equal_brute_force(spark):
         for b in sets:
             if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]):
                 want[a, b] = (len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6))
-    got = near.jaccard_join(frame(spark, rows)).collect()
+    got = near.similar_pairs(frame(spark, rows)).collect()
     assert len(got) == len({(r.doc_a, r.doc_b) for r in got})
     assert {(r.doc_a, r.doc_b): (r.n_common, r.jaccard) for r in got} == want and len(want) > 20
 
@@ -76,7 +76,7 @@ def test_signature_trees_lose_nothing():
 
 def test_one_of_each_near_group_stays(spark):
     rows = corpus(2) + ODD
-    pairs = near.jaccard_join(frame(spark, rows)).collect()
+    pairs = near.similar_pairs(frame(spark, rows)).collect()
     root = {i: i for i, _ in rows if i is not None}
 
     def top(x):
@@ -92,6 +92,34 @@ def test_one_of_each_near_group_stays(spark):
     assert sorted(((r.doc_id if r.doc_id is not None else -1), r.text or "") for r in got) == sorted((i, t or "") for i, t in want)
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    """Also with groups split into many cells, and with a doc_id that has several texts."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    family = "one family of texts that differ by a word here or there but not by many of them so that all are alike".split()
+    rows = corpus(8, 30) + ODD + [(1000 + k, " ".join([*family[:k], f"w{k}", *family[k + 1 :]])) for k in range(20)] + [(7, "x y z of another text"), (1030, "x y z of another text")]
+    sets = defaultdict(set)
+    for i, t in rows:
+        if i is not None:
+            sets[i].add(frozenset(grams(t)))
+    links, root = defaultdict(int), {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            n = sum(len(x & y) >= 0.5 * len(x | y) for x in sets[a] for y in sets[b] if x and y)
+            if a != b and n:
+                links[a] += n
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near.classes(frame(spark, rows)).collect()}
+    assert got == {i: (top(i), links[i]) for i in sets} and links[1005] == 19 and got[7][0] == got[1030][0]
+
+
 @pytest.mark.parametrize("memtable", [200_000, 3])
 def test_exact_copies_equal_brute_force(spark, memtable):
     rows = corpus(3) + ODD
@@ -202,7 +230,7 @@ def brute_passages(rows, length, ends=".!?,;:"):
             else:
                 out[-1][2], out[-1][4], out[-1][6] = last, stop, end
             reach = end
-    return sorted((i, k, last, start, stop, end - word, *keep) for i, k, last, start, stop, word, end, *keep in out)
+    return sorted((i, k, last, start, stop, *keep) for i, k, last, start, stop, word, end, *keep in out)
 
 
 LINES = [
@@ -217,7 +245,7 @@ LINES = [
 @pytest.mark.parametrize("kind,length", [(lines.PART, 30), (lines.PART, 8), (lines.LINE, 6)])
 def test_passages_equal_brute_force(spark, kind, length):
     rows = corpus(6) + ODD + LINES
-    got = sorted(tuple(r) for r in lines.repeats(frame(spark, rows), kind, length).select("doc_id", "unit", "last_unit", "start", "stop", "n_words", "keep_doc_id", "keep_unit").collect())
+    got = sorted(tuple(r) for r in lines.repeats(frame(spark, rows), kind, length).select("doc_id", "unit", "last_unit", "start", "stop", "keep_doc_id", "keep_unit").collect())
     assert got == brute_passages(rows, length, ".!?,;:" if kind == lines.PART else "") and len(got) > 10
 
 
@@ -244,7 +272,7 @@ def test_paragraphs(spark):
 
 
 OPS = {
-    "near": near.jaccard_join, "near_drop": near.drop_near_copies, "exact": exact.exact_copies, "exact_drop": exact.drop_copies,
+    "near": near.similar_pairs, "near_classes": near.classes, "near_drop": near.drop_near_copies, "exact": exact.exact_copies, "exact_drop": exact.drop_copies,
     "suffix": suffix.repeated_spans, "lines": lines.repeats, "lines_drop": lines.without_repeats, "suffix_drop": lambda d: suffix.without_spans(d, suffix.repeated_spans(d)),
 }
 
@@ -257,7 +285,7 @@ def test_empty_table(spark, name):
 @pytest.mark.parametrize("name", OPS)
 def test_all_null(spark, name):
     rows = OPS[name](frame(spark, [(None, None), (None, ""), (1, None), (None, "a b c d e f")])).count()
-    assert rows == (4 if name.endswith("drop") else 0)
+    assert rows == (4 if name.endswith("drop") else 1 if name == "near_classes" else 0)
 
 
 @pytest.mark.parametrize("name", OPS)

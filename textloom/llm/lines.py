@@ -2,7 +2,7 @@
 
 A text is cut into units: lines, which are cut further behind . ! ? , ; : (PART, the default), lines (LINE), or paragraphs between
 blank lines (PARAGRAPH). A unit is normalised to the lower case of its words with single spaces between. What is compared is a passage:
-from each unit on, as many whole units as it takes to have LENGTH words (a long line is a passage of one unit). Its 128-bit digest is
+from each unit on, as many whole units as it takes to have LENGTH words (a long line is a passage of one unit). Its 96-bit digest is
 grouped over the whole corpus; the occurrence ranked first, by (doc_id, unit number), stays and every other is removed. Removed passages
 of a document that overlap or touch are one span, reported with its units, its place in the original text, in characters, and
 the occurrence that stays of the passage it begins with.
@@ -11,7 +11,8 @@ A passage that begins or ends inside a line, or inside a sentence, is found all
 short stock line by itself is not a passage and leaves its document alone. As a match is always of LENGTH words, that doesn't change with the corpus's size.
 
 A digest seen once leaves in the aggregation; what is joined back is only digests that repeat. A hot passage makes a skewed key of
-that join, which AQE splits; it never is one task's list. Spans are put together within a document.
+that join, which AQE splits; it never is one task's list. Spans are put together within a document. Passages are made twice, as a table of them
+would be as large as the texts.
 
 Defined cases: an empty table gives no rows; null or empty texts, and texts of fewer than LENGTH words, have no passage; a text of any length is
 taken whole; a row with a null doc_id keeps its text and doesn't count; rows repeated with one doc_id are the same occurrence and never
@@ -34,7 +35,7 @@ from textloom.llm.textbytes import _WORDS_BASE, SOLID, U, mix, prefix, ranges, s
 
 PART, LINE, PARAGRAPH = "part", "line", "paragraph"
 LENGTH = 30
-PASSAGE = "h1 bigint, h2 bigint, doc_id bigint, unit int, last int, word int, n_words int, start int, stop int"
+PASSAGE = "h1 bigint, h2 int, doc_id bigint, unit int, last int, start int, stop int"
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?,;:"]] = True
@@ -68,25 +69,22 @@ def _passages(batches: Iterator[pa.RecordBatch], kind: str, length: int) -> Iter
             h2 = ranges(prefix(mix(low.hash ^ U(0xA5A5A5A5A5A5A5A5)), _WORDS_BASE), a, b, _WORDS_BASE)
             chars = np.concatenate([[0], np.cumsum((raw.data & 0xC0) != 0x80)])  # characters before each byte
             base = chars[raw.offs[:-1]][doc]
-            ints = (unit, last, a - raw.first[doc], b - a, chars[raw.start[a]] - base, chars[raw.end[b - 1]] - base)
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), part.column("doc_id").take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in ints]], names)
+            ints = (unit, last, chars[raw.start[a]] - base, chars[raw.end[b - 1]] - base)
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> U(32)).astype(np.uint32).view(np.int32)), part.column("doc_id").take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in ints]], names)
 
 
 def repeats(docs: DataFrame, kind: str = PART, length: int = LENGTH) -> DataFrame:
-    """The removed spans: doc_id, unit and last_unit, start and stop (characters, from 0), n_words, keep_doc_id, keep_unit."""
+    """The removed spans: doc_id, unit and last_unit, start and stop (characters, from 0), keep_doc_id, keep_unit."""
     src = renamed(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    passages = cut(src.mapInArrow(lambda it: _passages(it, kind, length), PASSAGE), "passages")
-    first = passages.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = cut(passages.join(first, ["h1", "h2"]), "again")
-    place = again.where("doc_id = keep_doc_id").groupBy("h1", "h2").agg(F.min("unit").alias("keep_unit"))
-    removed = again.join(place, ["h1", "h2"]).where("doc_id <> keep_doc_id or unit <> keep_unit")
-    w = W.partitionBy("doc_id").orderBy("word")
-    new = F.when(F.col("word") > F.max(F.col("word") + F.col("n_words")).over(w.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)
+    passages = src.mapInArrow(lambda it: _passages(it, kind, length), PASSAGE)
+    first = passages.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "unit")).alias("keep"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "keep")
+    removed = passages.join(first, ["h1", "h2"]).where("doc_id <> keep.doc_id or unit <> keep.unit").select("doc_id", "unit", "last", "start", "stop", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"))
+    w = W.partitionBy("doc_id").orderBy("unit")
+    new = F.when(F.col("unit") > 1 + F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)
     spans = removed.withColumn("new", new).withColumn("island", F.sum("new").over(w)).groupBy("doc_id", "island").agg(
-        F.min("unit").alias("unit"), F.max("last").alias("last_unit"), F.min("start").alias("start"), F.max("stop").alias("stop"),
-        (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words"), F.min(F.struct("word", "keep_doc_id", "keep_unit")).alias("keep"),
-    )
-    return spans.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("unit", "last_unit", "start", "stop", "n_words")], "keep.keep_doc_id", F.col("keep.keep_unit").cast("bigint").alias("keep_unit"))
+        F.min("unit").alias("unit"), F.max("last").alias("last_unit"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("unit", "keep_doc_id", "keep_unit")).alias("keep")
+    )
+    return spans.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("unit", "last_unit", "start", "stop")], "keep.keep_doc_id", F.col("keep.keep_unit").cast("bigint").alias("keep_unit"))
 
 
 def without_repeats(docs: DataFrame, kind: str = PART, length: int = LENGTH) -> DataFrame:

@@ -11,7 +11,7 @@ from textloom.llm.common import table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.jaccard_join(table(spark, sf_dir, "documents"))
+    return near.classes(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +65,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i:i+2])
   WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, k AS n_common, round(k / (x.n + y.n - k), 6) AS jaccard
-FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE k >= 0.5 * (x.n + y.n - k)""",
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.5 * (x.n + y.n - k)),
+r AS (SELECT doc_id, doc_id AS c FROM documents WHERE doc_id IS NOT NULL UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, min(c) AS class_id, coalesce(max(n_links), 0)::BIGINT AS n_links
+FROM r LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) ON a = doc_id GROUP BY doc_id""",
     "op5_exact_dedup": """
 SELECT doc_id, keep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id FROM documents
 WHERE text IS NOT NULL AND doc_id IS NOT NULL) WHERE doc_id <> keep_id""",
@@ -95,7 +97,7 @@ f AS (SELECT k.*, array_to_string(words[a + 1 : b], ' ') AS norm FROM k JOIN d U
 r AS (SELECT doc_id, unit, last, a, b, start, stop, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit FROM f WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)),
 s AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM r WHERE doc_id <> keep_doc_id OR unit <> keep_unit),
 g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS island FROM s)
-SELECT doc_id, min(unit)::BIGINT AS unit, max(last)::BIGINT AS last_unit, min(start) AS start, max(stop) AS stop, max(b) - min(a) AS n_words,
+SELECT doc_id, min(unit)::BIGINT AS unit, max(last)::BIGINT AS last_unit, min(start) AS start, max(stop) AS stop,
   arg_min(keep_doc_id, a) AS keep_doc_id, arg_min(keep_unit, a)::BIGINT AS keep_unit FROM g GROUP BY doc_id, island""",
     "op8_mix_sources": r"""
 WITH d AS (SELECT d.doc_id, source, len(string_split(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), ' ')) AS n_tokens,
