@@ -1,16 +1,25 @@
 """N-gram Jaccard join with signature trees.
 
 Every document becomes the set of its word 3-grams (words: runs of letters and digits, lower case; a text of one or two
-words has one gram). Documents with equal sets are collapsed first. Band keys of min-hashes route sets that may be
-similar to the same group; inside a group two signature trees are joined: leaves are documents, inner nodes hold the
+words has one gram). Documents with equal sets are one node of the join, with the number of its documents. Band keys of min-hashes route
+sets that may be similar to the same group; inside a group two signature trees are joined: leaves are sets, inner nodes hold the
 OR of their children's token bitmaps, the size range and the largest number of tokens that share a bit. The dual
 traversal drops a pair of nodes when no pair below it can reach the needed overlap. What remains is verified on the exact sets.
 
+A group of more than BLOCK sets, or of more than BLOCK_TOKENS tokens a block, is split: its sets fall into blocks by hash, and every
+pair of blocks (and every block by itself) is a cell of its own, so that a hot group is many tasks' work of bounded size. Groups
+are only ever counted and hashed as wholes, and groups of the same sets in several bands are worked off once.
+
+A cell gives what follows from its pairs: for each set the number of similar documents, and a star of links to the smallest set
+of each connected part. So what leaves the cells grows with the sets, though the pairs of a family grow with its square; similar_pairs() lists them.
+
 Routing is the only approximate step: a pair of similarity s is missed with probability (1 - s^2)^BANDS, 3e-4 at 0.5
 and 2e-8 at 0.7. No group, partner list or candidate list is capped.
 
-Defined cases: rows with a null doc_id, null text or no word have no partner; a pair is reported once, doc_a < doc_b,
-also when rows are repeated; equal texts have Jaccard 1; other columns are ignored, whatever their names.
+Defined cases: an empty table gives no rows; a row with a null doc_id is left out of the join (and stays in drop_near_copies()); a null or empty text,
+or one without a word, has no partner and a class of its own; texts of any length are taken whole; rows repeated with one doc_id
+are one document, and a doc_id with several texts has the links of each of them; equal texts have Jaccard 1; a class is named
+by its smallest doc_id, so ties don't matter; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +35,12 @@ from textloom.llm.common import cut, join_ids, renamed
 from textloom.llm.textbytes import U, mix, slices, words
 
 NGRAM, THRESHOLD, BANDS, FANOUT, FRONTIER = 3, 0.5, 28, 8, 20_000
+#: Largest number of sets, and of their tokens, in a block of a group.
+BLOCK, BLOCK_TOKENS = 2048, 1 << 21
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=U)) | U(1)
 
-SKETCH = "rep bigint, h1 bigint, h2 bigint, size int, bands array<bigint>, bits binary"
+SKETCH = "doc_id bigint, h1 bigint, h2 bigint, size int, bands array<bigint>, bits binary"
+SKETCH_NAMES = [c.split()[0] for c in SKETCH.split(", ")]
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -43,6 +55,10 @@ def _sketches(batches: Iterator[pa.RecordBatch], ngram: int) -> Iterator[pa.Reco
     for batch in batches:
         for part in slices(batch, "text"):
             g, doc = words(part.column("text")).grams(ngram)
+            g_of = np.bincount(doc, minlength=len(part)) if len(g) else np.zeros(len(part), np.int64)
+            if len(none := np.flatnonzero(g_of == 0)):
+                zero = pa.array(np.zeros(len(none), np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(none)), zero, zero, zero.cast(pa.int32()), pa.array([[]] * len(none), pa.list_(pa.int64())), pa.array([b""] * len(none), pa.binary())], SKETCH_NAMES)
             if not len(g):
                 continue
             have, begin = np.unique(doc, return_index=True)
@@ -65,7 +81,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], ngram: int) -> Iterator[pa.Reco
                     pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())),
                     pa.array(bits, pa.binary()),
                 ],
-                ["rep", "h1", "h2", "size", "bands", "bits"],
+                SKETCH_NAMES,
             )
 
 
@@ -125,17 +141,34 @@ def _wide(bits: list[bytes], width: int) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(b, U).reshape(-1, width // 8), axis=0) for b in bits])
 
 
-def tree_join(bits: list[bytes], size: np.ndarray, order: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate index pairs of one group. Documents are treed by bitmap width, so that a node's OR stays telling."""
+def tree_join(bits: list[bytes], size: np.ndarray, order: np.ndarray, t: float, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate index pairs of one group; with side only pairs of a document with side False and one with side True.
+
+    Documents are treed by bitmap width, so that a node's OR stays telling."""
     width = np.array([len(b) for b in bits])
-    at = {w: (k := np.flatnonzero(width == w))[np.lexsort((size[k], order[k]))] for w in np.unique(width)}
-    for w, own in at.items():
-        tree = Tree(_wide([bits[k] for k in own], w), size[own])
-        for i, j in dual(tree, tree, True, t):
-            yield own[i], own[j]
-        for v, other in at.items():
-            if w < v <= w * 2 / t:
-                for i, j in dual(tree, Tree(_wide([bits[k] for k in other], w), size[other]), False, t):
+
+    def by_width(which: np.ndarray) -> dict[int, np.ndarray]:
+        return {w: (k := np.flatnonzero(which & (width == w)))[np.lexsort((size[k], order[k]))] for w in np.unique(width[which])}
+
+    def tree(k: np.ndarray, w: int) -> Tree:
+        return Tree(_wide([bits[i] for i in k], w), size[k])
+
+    if side is None:
+        at = by_width(np.ones(len(bits), bool))
+        for w, own in at.items():
+            mine = tree(own, w)
+            for i, j in dual(mine, mine, True, t):
+                yield own[i], own[j]
+            for v, other in at.items():
+                if w < v <= w * 2 / t:
+                    for i, j in dual(mine, tree(other, w), False, t):
+                        yield own[i], other[j]
+        return
+    left, right = by_width(~side), by_width(side)
+    for w, own in left.items():
+        for v, other in right.items():
+            if max(v, w) <= min(v, w) * 2 / t:
+                for i, j in dual(tree(own, min(v, w)), tree(other, min(v, w)), False, t):
                     yield own[i], other[j]
 
 
@@ -158,104 +191,156 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(rest)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    out: list[list[np.ndarray]] = [[], [], []]
-    held = 0
+#: A set in a cell: its partners there, by number; sets without any are left out unless they are a partner.
+ROLE = "gid bigint, sid bigint, partners array<bigint>"
 
-    def flush() -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in out]
-        for c in out:
-            c.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gid", "a", "b"])
 
+def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
     for g in _groups(batches, "gid"):
-        rep, size, band = (g.column(c).to_numpy() for c in ("rep", "size", "band"))
+        sid, one = np.unique(g.column("sid").to_numpy(), return_index=True)
+        g = g.take(pa.array(one))
+        size, block, band = (g.column(c).to_numpy() for c in ("size", "block", "band"))
+        side = None if g.column("diagonal")[0].as_py() else block > block.min()
+        if len(sid) < 2 or (side is not None and not side.any()):
+            continue
         bands = g.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        gid = g.column("gid")[0].as_py()
-        before = bands[:, : band[0]]
-        for i, j in tree_join(g.column("bits").to_pylist(), size.astype(np.int64), bands[:, 0], t):
+        before, a, b = bands[:, : band[0]], [], []
+        for i, j in tree_join(g.column("bits").to_pylist(), size.astype(np.int64), bands[:, 0], t, side):
             # each pair belongs to the first band in which its keys agree
             own = ~(before[i] == before[j]).any(1)
-            i, j = rep[i[own]], rep[j[own]]
-            out[0].append(np.full(len(i), gid))
-            out[1].append(np.minimum(i, j))
-            out[2].append(np.maximum(i, j))
-            held += len(i)
-            if held > 100_000:
-                held = 0
-                yield flush()
-    if out[0]:
-        yield flush()
-
-
-def _verified(batches: Iterator[pa.RecordBatch], ngram: int, t: float) -> Iterator[pa.RecordBatch]:
+            a.append(np.minimum(i[own], j[own]).astype(np.int32))
+            b.append(np.maximum(i[own], j[own]).astype(np.int32))
+        if not sum(map(len, a)):
+            continue
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.argsort(a, kind="stable")
+        named = np.unique(np.concatenate([a, b]))
+        n = np.bincount(a, minlength=len(sid))[named]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(named), g.column("gid")[0].as_py())), pa.array(sid[named]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(sid[b[order]]))],
+            ["gid", "sid", "partners"],
+        )
+
+
+def _verified(batches: Iterator[pa.RecordBatch], ngram: int, t: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each cell: sid and weight of its sets, and of its similar pairs both indices, the common grams and the Jaccard similarity."""
     for g in _groups(batches, "gid"):
-        rep = g.column("rep").to_numpy()
         sets: list[np.ndarray] = []
         for batch in g.select(["text"]).combine_chunks().to_batches():
             for part in slices(batch, "text"):
                 h, doc = words(part.column("text")).grams(ngram)
                 sets += [np.unique(x) for x in np.split(h, np.searchsorted(doc, np.arange(1, len(part))))]
+        # a doc_id with several texts comes with each of them: the one that made the set counts
+        right = np.array([int(s.sum().view(np.int64)) for s in sets]) == g.column("h1").to_numpy()
+        sid, one = np.unique(g.column("sid").to_numpy()[right], return_index=True)
+        g = g.take(pa.array(np.flatnonzero(right)[one]))
+        sets = [sets[k] for k in np.flatnonzero(right)[one]]
         ids, local = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.cumsum([len(s) for s in sets])
-        local = [local[e - len(s) : e] for e, s in zip(ends, sets, strict=True)]
-        where = {r: k for k, r in enumerate(rep)}
+        size = np.array([len(s) for s in sets])
+        begin = np.cumsum(size) - size
         mark = np.zeros(len(ids), bool)
-        a, b, both, jac = [], [], [], []
-        for k, partners in enumerate(g.column("partners").to_pylist()):
-            if not partners:
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        partners = g.column("partners").combine_chunks()
+        lists, ends = partners.flatten().to_numpy(), np.cumsum(partners.value_lengths().fill_null(0).to_numpy())
+        for k in range(len(sid)):
+            q = np.searchsorted(sid, lists[ends[k - 1] if k else 0 : ends[k]])
+            if not len(q):
                 continue
-            mark[local[k]] = True
-            for p in partners:
-                q = where[p]
-                n = int(np.count_nonzero(mark[local[q]]))
-                u = len(local[k]) + len(local[q]) - n
-                if n >= t * u - 1e-9:
-                    a.append(rep[k])
-                    b.append(p)
-                    both.append(n)
-                    jac.append(n / u)
-            mark[local[k]] = False
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(both, pa.int32()), pa.array(jac, pa.float64())], ["rep_a", "rep_b", "n", "jaccard"])
-
-
-def similar_sets(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs): sets has rep (smallest doc_id with a set), its members and size; pairs has the joined reps."""
-    src = renamed(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    sketch = src.mapInArrow(lambda it: _sketches(it, ngram), SKETCH)
-    sets = cut(
-        sketch.groupBy("h1", "h2", "size").agg(F.min("rep").alias("rep"), F.array_sort(F.collect_set("rep")).alias("members"), F.first("bands").alias("bands"), F.first("bits").alias("bits")).drop("h1", "h2"),
-        "sets",
-    )
-    keys = sets.select("rep", F.posexplode("bands").alias("band", "key"))
-    groups = (
-        keys.groupBy("key").agg(F.min("band").alias("band"), F.array_sort(F.collect_list("rep")).alias("reps")).where(F.size("reps") > 1)
-        .groupBy("reps").agg(F.min("band").alias("band"))
-        .select(F.xxhash64("reps", "band").alias("gid"), "band", F.explode("reps").alias("rep"))
+            own = local[begin[k] : begin[k] + size[k]]
+            mark[own] = True
+            upto = np.cumsum(size[q])
+            both = np.add.reduceat(mark[local[np.arange(upto[-1]) + np.repeat(begin[q] - upto + size[q], size[q])]], upto - size[q], dtype=np.int64)
+            mark[own] = False
+            union = size[k] + size[q] - both
+            ok = both >= t * union - 1e-9
+            for c, v in zip(found, (np.full(int(ok.sum()), k), q[ok], both[ok], both[ok] / union[ok]), strict=True):
+                c.append(v)
+        if found[0]:
+            yield sid, g.column("weight").to_numpy(), *(np.concatenate(c) for c in found)
+
+
+PAIR = "sid_a bigint, sid_b bigint, n bigint, jaccard double"
+#: A link of a set to the smallest of its part of a cell, and the number of documents similar to it there.
+LINK = "a bigint, b bigint, links bigint"
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], ngram: int, t: float) -> Iterator[pa.RecordBatch]:
+    for sid, _, a, b, n, jaccard in _verified(batches, ngram, t):
+        yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b]), pa.array(n), pa.array(jaccard)], [c.split()[0] for c in PAIR.split(", ")])
+
+
+def _links(batches: Iterator[pa.RecordBatch], ngram: int, t: float) -> Iterator[pa.RecordBatch]:
+    for sid, weight, a, b, _, _ in _verified(batches, ngram, t):
+        n = np.bincount(a, weight[b], len(sid)) + np.bincount(b, weight[a], len(sid))
+        root = np.arange(len(sid))
+        while True:  # the smallest index of each connected part
+            low = root.copy()
+            np.minimum.at(low, a, root[b])
+            np.minimum.at(low, b, root[a])
+            low = np.minimum(low, low[low])
+            if (low == root).all():
+                break
+            root = low
+        k = np.flatnonzero(n > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(sid[k]), pa.array(sid[root[k]]), pa.array(n[k].astype(np.int64))], ["a", "b", "links"])
+
+
+def similar_sets(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, members, cells): sets has sid, rep (its smallest doc_id), size and weight (number of documents) of each distinct set;
+    members has doc_id and sid; cells has the rows that _verified() takes."""
+    src = renamed(docs, doc_id="doc_id", text="text").where("doc_id is not null")
+    sketch = cut(src.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _sketches(it, ngram), SKETCH), "sketches")
+    sets = sketch.where("size > 0").groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    members = cut(sketch.select("doc_id", "h1", "h2", "size").join(sets.select("h1", "h2", "size", "sid"), ["h1", "h2", "size"], "left").select("doc_id", "sid").distinct(), "members")
+    weights = cut(members.where("sid is not null").groupBy("sid").agg(F.count("*").alias("weight")).where("weight > 1"), "weights")
+    sets = join_ids(sets, weights, "sid", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+
+    keys = sets.select("sid", "size", F.posexplode("bands").alias("band", "key"))
+    groups = keys.groupBy("key").agg(
+        F.min("band").alias("band"), F.count("*").alias("n"), F.sum("size").alias("tokens"), F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("x2")
+    ).where("n > 1")
+    # groups of the same sets: the first band's stays
+    groups = groups.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("first"), F.max("tokens").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    groups = cut(groups.select("first.key", F.col("first.band").alias("own_band"), blocks.alias("blocks")), "groups")
+    rows = join_ids(keys.select("sid", "key"), groups, "key", "inner").withColumnRenamed("own_band", "band")
+    rows = rows.join(sets.select("sid", "size", "bands", "bits"), "sid").withColumn("block", F.expr("cast(pmod(xxhash64(sid, 3), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("diagonal", F.col("block") == F.col("other"))
+    rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "sid", "band", "size", "bands", "bits", "block", "diagonal")
+    roles = cut(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(lambda it: _candidates(it, threshold), ROLE), "candidates")
+    named = cut(join_ids(sets.select("sid", "rep", "h1", "weight"), cut(roles.select("sid").distinct(), "named"), "sid"), "reps")
+    texts = join_ids(src.where("text is not null"), named.withColumnRenamed("rep", "doc_id"), "doc_id", "inner").select("sid", "h1", "weight", "text")
+    cells = roles.join(texts, "sid").select("gid", "sid", "h1", "weight", "partners", "text").repartition("gid").sortWithinPartitions("gid")
+    return sets.select("sid", "rep", "size", "weight"), members, cells
+
+
+def similar_pairs(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs doc_a < doc_b with n-gram Jaccard of threshold or more: doc_a, doc_b, n_common, jaccard."""
+    sets, members, cells = similar_sets(docs, ngram, threshold)
+    pairs = cut(cells.mapInArrow(lambda it: _pairs(it, ngram, threshold), PAIR), "pairs")
+    same = sets.where("weight > 1").select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"), F.col("size").cast("bigint").alias("n"), F.lit(1.0).alias("jaccard"))
+    sides = [members.select(F.col("sid").alias(f"sid_{c}"), F.col("doc_id").alias(c)) for c in "ab"]
+    return (
+        pairs.unionAll(same).join(sides[0], "sid_a").join(sides[1], "sid_b").where("a <> b and (sid_a <> sid_b or a < b)")
+        .groupBy(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).agg(F.max(F.struct("jaccard", "n")).alias("best"))
+        .select("doc_a", "doc_b", F.col("best.n").alias("n_common"), F.round("best.jaccard", 6).alias("jaccard"))
     )
-    rows = groups.join(sets.select("rep", "size", "bands", "bits"), "rep")
-    found = cut(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(lambda it: _candidates(it, threshold), "gid bigint, a bigint, b bigint"), "candidates")
-    partners = found.groupBy("gid", F.col("a").alias("rep")).agg(F.collect_list("b").alias("partners"))
-    named = found.select("gid", F.col("a").alias("rep")).union(found.select("gid", F.col("b").alias("rep"))).distinct()
-    roles = named.join(partners, ["gid", "rep"], "left")
-    texts = join_ids(src.withColumnRenamed("doc_id", "rep"), cut(named.select("rep").distinct(), "named"), "rep")
-    pairs = roles.join(texts, "rep").repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(lambda it: _verified(it, ngram, threshold), "rep_a bigint, rep_b bigint, n int, jaccard double")
-    return sets.select("rep", "members", "size"), cut(pairs, "pairs")
 
 
-def jaccard_join(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs doc_a < doc_b with n-gram Jaccard of threshold or more: doc_a, doc_b, n_common, jaccard."""
-    sets, pairs = similar_sets(docs, ngram, threshold)
-    many = sets.where(F.size("members") > 1)
-    inside = many.select("size", F.explode("members").alias("doc_a"), "members").select("doc_a", F.explode("members").alias("doc_b"), "size").where("doc_a < doc_b").select("doc_a", "doc_b", F.col("size").cast("bigint").alias("n_common"), F.lit(1.0).alias("jaccard"))
-    many = many.select("rep", "members")
-    cross = (
-        pairs.join(many.withColumnsRenamed({"rep": "rep_a", "members": "as"}), "rep_a", "left").join(many.withColumnsRenamed({"rep": "rep_b", "members": "bs"}), "rep_b", "left")
-        .withColumn("a", F.explode(F.coalesce("as", F.array("rep_a")))).withColumn("b", F.explode(F.coalesce("bs", F.array("rep_b"))))
-        .where("a <> b")
-        .select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), F.col("n").cast("bigint").alias("n_common"), F.round("jaccard", 6).alias("jaccard"))
-    )
-    return cross.unionAll(inside)
+def classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id and n_links of every document: the smallest doc_id of its class (of documents that links connect), and with how
+    many other documents its n-gram Jaccard is threshold or more."""
+    sets, members, cells = similar_sets(docs, ngram, threshold)
+    links = cut(cells.mapInArrow(lambda it: _links(it, ngram, threshold), LINK), "links")
+    several = members.where("sid is not null").groupBy("doc_id").agg(F.min("sid").alias("a"), F.count("*").alias("n")).where("n > 1").select("doc_id", "a")
+    several = members.join(several, "doc_id").select("a", F.col("sid").alias("b"))
+    roots = components(links.select("a", "b").unionAll(several))
+    counts = cut(links.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links")), "counts")
+    linked = cut(join_ids(join_ids(sets, roots.withColumnRenamed("id", "sid"), "sid", "left"), counts, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")), "linked")
+    named = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
+    every = members.join(linked.join(named, "root").select("sid", "class_id", "links"), "sid", "left")
+    return every.groupBy("doc_id").agg(F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,11 +359,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """docs less all but the smallest doc_id of each group (connected component) of similar documents.
+    """docs less all but the smallest doc_id of each class of similar documents.
 
     Rows without doc_id, text or words stay, and so do all rows of a doc_id that stays."""
-    sets, pairs = similar_sets(docs, ngram, threshold)
-    copies = sets.where(F.size("members") > 1).select("rep", F.explode("members").alias("id")).where("id <> rep")
-    # a group's smallest document is the rep of its set, as reps are the smallest of theirs
-    gone = cut(components(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionAll(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))).where("id <> root").select(F.col("id").alias("doc_id")), "gone")
+    gone = cut(classes(docs, ngram, threshold).where("class_id <> doc_id").select("doc_id"), "gone")
     return join_ids(docs, gone, "doc_id", "left_anti")
