@@ -23,10 +23,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests, one machine) a folder of its own that goes at exit."""
+    """spark.checkpoint.dir; where it is unset, on one machine (tests), a folder of its own that goes at exit.
+
+    On a cluster that names no folder this raises: each executor would write to its own disk, and its rows would be lost to the others."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
         base = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(base)
