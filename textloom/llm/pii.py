@@ -1,17 +1,20 @@
 """Personal data replaced by format-preserving Feistel pseudonyms.
 
 Found values: e-mail addresses, phone numbers, payment cards (Luhn), IBANs (mod 97), IPv4 addresses, US social security numbers,
-dates (of the calendar) and secrets (long hexadecimal or mixed tokens of any length assigned to a name that ends in token, key, secret or
-password, in upper or lower case). A value is ranked as an integer among the values of its format, permuted by a keyed Feistel network with cycle walking, and written in the same
+dates (of the calendar, any year) and secrets: what is assigned to a name that ends in password, passwd, passphrase or pwd, if it has a digit and 6
+characters, or 16 characters; and of 16 letters, digits, + / _ - or more to one that ends in token, key or secret (shorter ones can't be told from words);
+names in upper or lower case, values of any length. A value is ranked as an integer among the values of its format, permuted by a keyed Feistel network with cycle walking, and written in the same
 format: separators, letter case, length, prefixes and check digits stay valid. The permutation depends only on key, kind and
-format, so equal values have equal pseudonyms in all documents, different values different ones, and depseudonymise() inverts it.
+format, so equal values have equal pseudonyms in all documents, different values different ones, and depseudonymise() inverts it. Dates of
+1900 to 2099 become such dates, others others.
 
 Numbers: 16-digit groups and others of 13 to 19 digits that pass Luhn become Luhn-valid numbers with a new check digit; those
-that fail it are permuted as plain digits if they have the length of a card (CARD_LIKE), else left alone. A match that isn't valid, or takes
+that fail it aren't cards: they are permuted as plain digits if they look like one all the same (CARD_LIKE digits), else left alone, as numbers of other lengths are mostly times and keys. A match that isn't valid, or takes
 in what follows a value, is cut at the ends of its groups of digits: to the longest card, IBAN, or phone number of its country's length or
 that ends before the next value. Where no cut is valid, the search goes on at the next character.
 
-Defined cases: a null text stays null, an empty one empty, both with no spans; all of a text is scanned; overlapping finds go to the
+Defined cases: an empty table gives no rows; a null text stays null, an empty one empty, both with no spans; a row with a null doc_id is treated like
+any other, and rows repeated with one doc_id give as many rows; a text of any length is scanned whole; overlapping finds (ties) go to the
 earlier and longer; a value is never mapped to itself unless its format has one value; other columns are ignored by
 pseudonymised() and kept by redact().
 """
@@ -37,18 +40,22 @@ ROUNDS, CARD_LIKE = 8, (15, 16)
 #: Values with more permuted characters are permuted as strings: arithmetic on one number of that many digits is quadratic.
 WIDE = 512
 
-FIND = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
-    r"|(?P<secret>(?i:token|secret|password|passwd|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<secret_value>[A-Za-z0-9+/_-]{16,}))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
-    r"|(?P<date>(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9]))"
-    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-    r"|(?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]))"
-)
+#: Each kind's pattern, the earlier one first; what is replaced is the group value, where there is one. No part has a longest length.
+PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<email_value>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++)",
+    "secret": r"(?:(?P<password>(?i:passwords?|passwd|passphrase|pwd))|(?i:token|secret|key))[\"']?\s*+[:=]\s*+[\"']?"
+    r"(?P<secret_value>(?(password)(?:(?=[^\s\"',;<>]*[0-9])[^\s\"',;<>]{6,}+|[^\s\"',;<>]{16,}+)|[A-Za-z0-9+/_-]{16,}+))",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
+    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+}
+_KIND = {k: re.compile(p) for k, p in PATTERNS.items()}
+FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: A text without any of these has nothing to find.
-HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
+HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|passp|pwd|key)")
 
 
 def _round(key: bytes, tweak: bytes, k: int, x: int, m: int) -> int:
@@ -200,13 +207,14 @@ def _date(s: str, key: bytes, back: bool) -> str | None:
         day = date(a, b, c) if year_first else date(c, b, a) if day_first else date(c, a, b)
     except ValueError:
         return None
-    x = day.toordinal()
-    if not FIRST_DAY <= x <= LAST_DAY:
-        return None
+    # usual dates stay usual ones, others others
+    lo, n = (FIRST_DAY, LAST_DAY - FIRST_DAY + 1) if FIRST_DAY <= day.toordinal() <= LAST_DAY else (1, date.max.toordinal() - (LAST_DAY - FIRST_DAY + 1))
+    x = day.toordinal() - (LAST_DAY - FIRST_DAY + 1) * (lo == 1 and day.toordinal() > LAST_DAY) - lo
     # the order of day and month is read from the value, so it is permuted among the dates of its own reading
     while True:
-        x = FIRST_DAY + _moved(x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date", back)
-        d = date.fromordinal(x)
+        x = _moved(x, n, key, b"date" if lo == FIRST_DAY else b"far date", back)
+        d = x + lo
+        d = date.fromordinal(d + (LAST_DAY - FIRST_DAY + 1) * (lo == 1 and d >= FIRST_DAY))
         if day_first or year_first or d.day > 12:
             break
     if year_first:
@@ -217,8 +225,10 @@ def _date(s: str, key: bytes, back: bool) -> str | None:
 
 def _email(s: str, key: bytes, back: bool) -> str:
     local, _, domain = s.rpartition("@")
-    host, _, top = domain.rpartition(".")
-    return _chars(local + "@" + host, "email", key, back) + "." + top
+    host, dot, top = domain.rpartition(".")
+    if not top.isalpha():
+        host, dot, top = domain, "", ""
+    return _chars(local + "@" + host, "email", key, back) + dot + top
 
 
 def _ssn(s: str, key: bytes, back: bool) -> str | None:
@@ -287,8 +297,6 @@ def scan(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, st
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 
-#: Each kind's pattern by itself.
-_KIND = {k: re.compile(p) for k, p in zip(re.findall(r"\(\?P<(\w+)>(?<!secret_value>)", FIND.pattern), re.split(r"\|(?=\(\?P<)", FIND.pattern), strict=True)}
 _NATIONAL = re.compile(r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 #: Digits of a phone number, with the country code, where a country has one length.
 PHONE_DIGITS = {"1": 11, "7": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10, "48": 11, "61": 11, "91": 12}
@@ -352,12 +360,12 @@ def _phone_end(text: str, m: re.Match, key: bytes) -> int | None:
 def _valid(text: str, m: re.Match, key: bytes) -> tuple[str, int, int, str] | None:
     """Kind, place and pseudonym of the value that begins where m does: m's kind first, then the kinds behind it."""
     kinds = list(_KIND)
-    first = kinds.index(m.lastgroup if m.lastgroup != "secret_value" else "secret")
+    first = next(k for k, name in enumerate(kinds) if m[name] is not None)
     for kind in kinds[first:]:
         p = _KIND[kind].match(text, m.start())
         if not p:
             continue
-        a, b = p.span("secret_value") if kind == "secret" else p.span()
+        a, b = p.span(f"{kind}_value" if kind in ("email", "secret") else 0)
         if kind == "card":
             b = None if _NATIONAL.match(text, a) else _card_end(text, p)
         elif kind == "phone":
