@@ -3,15 +3,17 @@
 store() writes every distinct payload once, as a member named by its SHA-256, into tar shards of about SHARD bytes in the shared folder.
 Rows keep digest, shard, offset and length (of the stored bytes) instead of the payload. Payloads that deflate well are stored
 deflated (encoding deflate), others as they are (identity). describe() then reads the first HEADER bytes of each member's range,
-more only if a header says that it goes on, and fills the metadata columns: PNG, GIF, BMP, JPEG, WAV and HTML.
+more only as long as a header says that it goes on, however far that is, and fills the metadata columns: PNG, GIF, BMP, JPEG, WAV and HTML (told by
+the tag that it begins with, behind any white space, as browsers do).
 
 A shard gets its name when it is complete and no name is used twice, so a task that runs again after a loss writes shards of its own
 and its rows refer to those; what the lost attempt wrote stays unreferenced. Of equal payloads the row with the smallest key owns the
 stored one; which rows own is settled on digests alone, payloads are not shuffled.
 
-Defined cases: a null payload has null media columns; an empty one has a digest, length 0 and media type application/x-empty; unknown
-bytes are application/octet-stream; a header that is cut short gives null metadata; rows with equal keys and payloads share a member, a null
-key is a key; other columns of the table are ignored.
+Defined cases: an empty table gives no rows; a null payload has null media columns; an empty one has a digest, length 0 and media type
+application/x-empty; unknown bytes are application/octet-stream; a header that ends with the payload gives null metadata; payloads of any length are one
+member (a shard is then longer); rows with equal keys and payloads, and other equal payloads, share a member, a null key is a key; the key may
+have any name but those of the result's columns, which get it in its stead; other columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import BROADCAST_IDS, cut, shared_dir
 
-SHARD, HEADER, MOST_HEADER = 64 << 20, 1024, 1 << 20
+SHARD, HEADER = 64 << 20, 1024
 WHERE = "digest string, shard string, offset bigint, length bigint, encoding string, size bigint"
 ABOUT = "media_type string, width int, height int, channels int, sample_rate int, duration_s double, charset string, lang string, title string"
 EMPTY = dict.fromkeys(c.split()[0] for c in ABOUT.split(", "))
@@ -130,25 +132,51 @@ def header(data: bytes) -> dict | None:
         return None
     if data[:3] == b"\xff\xd8\xff":
         at = 2
-        while at + 9 <= len(data):
+        while at + 4 <= len(data):
             if data[at] != 0xFF:
                 return out | {"media_type": "image/jpeg"}
             mark = data[at + 1]
+            if mark == 0xFF or mark == 1 or 0xD0 <= mark <= 0xD8:  # filling, or a marker without a length
+                at += 1 + (mark != 0xFF)
+                continue
             if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-                out["height"], out["width"], out["channels"] = struct.unpack(">HHB", data[at + 5 : at + 10].ljust(5, b"\0"))
+                if at + 10 > len(data):
+                    return None
+                out["height"], out["width"], out["channels"] = struct.unpack(">HHB", data[at + 5 : at + 10])
                 return out | {"media_type": "image/jpeg"}
             at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
         return None
-    low = data[:256].lstrip().lower()
-    if low.startswith((b"<!doctype html", b"<html")) or b"<head" in low:
+    begin = next((k for k, c in enumerate(data) if c not in b" \t\r\n\f"), None) if data[0] in b" \t\r\n\f" else 0
+    if begin is None or _may_be_html(data, begin):
+        return None
+    if _HTML.match(data, begin):
         text = data.decode("utf-8", "ignore")
         if not re.search(r"</title|<body|</head", text, re.I):
             return None
         pick = lambda p: (m := re.search(p, text, re.I | re.S)) and m[1].strip()
-        return out | {"media_type": "text/html", "charset": pick(r"<meta[^>]{0,200}?charset=[\"']?([\w-]+)"), "lang": pick(r"<html[^>]{0,200}?\blang=[\"']?([\w-]+)"), "title": pick(r"<title[^>]{0,200}>(.*?)</title")}
+        return out | {"media_type": "text/html", "charset": pick(r"<meta[^>]*?charset=[\"']?([\w-]+)"), "lang": pick(r"<html[^>]*?\blang=[\"']?([\w-]+)"), "title": pick(r"<title[^>]*>(.*?)</title")}
     return out | {"media_type": "application/octet-stream"}
 
 
+_HTML = re.compile(rb"(?:\xef\xbb\xbf\s*)?<(?:!doctype html|html|head|script|iframe|h1|div|font|table|a|style|title|b|body|br|p|meta|link|!--)(?=[\s>/-])|(?:\xef\xbb\xbf\s*)?<!--", re.I)
+
+
+def _may_be_html(data: bytes, begin: int) -> bool:
+    """Whether the bytes end before they can tell a tag."""
+    return len(data) - begin < 20 and (data[begin : begin + 1] == b"<" or data[begin : begin + 3] == b"\xef\xbb\xbf")
+
+
+def whole(data: bytes) -> dict:
+    """Metadata of a payload whose header isn't complete though all of it was read."""
+    if data[:4] == b"RIFF":
+        return EMPTY | {"media_type": "audio/wav"}
+    if data[:3] == b"\xff\xd8\xff":
+        return EMPTY | {"media_type": "image/jpeg"}
+    if _HTML.match(data.lstrip()):
+        return header(data + b"</head>") or EMPTY | {"media_type": "text/html"}
+    return EMPTY | {"media_type": "application/octet-stream"}
+
+
 def _inflated(data: bytes, encoding: str) -> bytes:
     """What the (maybe incomplete) stored bytes hold of the payload's beginning."""
     return zlib.decompressobj().decompress(data) if encoding == "deflate" else data
@@ -164,8 +192,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while about is None:
                 data = _inflated(_range(files, shard, offset, min(n, length)), how)
                 about = header(data)
-                if about is None and (n >= length or n >= MOST_HEADER):
-                    about = EMPTY | {"media_type": {b"RIFF": "audio/wav", b"\xff\xd8\xff": "image/jpeg"}.get(data[:4] if data[:4] == b"RIFF" else data[:3], "text/html")}
+                if about is None and n >= length:
+                    about = whole(data)
                 n *= 4
             found.append(about)
         yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[c] for f in found], kind.field(c).type) for c in kind.names]], [*batch.schema.names, *kind.names])
@@ -199,7 +227,8 @@ def describe(members: DataFrame) -> DataFrame:
 def media_columns(table: DataFrame, key: str, payload: str, shard_bytes: int = SHARD) -> DataFrame:
     """key, digest, shard, offset, length, encoding, size and the metadata columns of every row of table."""
     rows, members = store(table, key, payload, shard_bytes)
-    return rows.join(describe(members), "digest", "left").withColumnRenamed("key", key).select(key, *[c.split()[0] for c in f"{WHERE}, {ABOUT}".split(", ")])
+    names = [c.split()[0] for c in f"{WHERE}, {ABOUT}".split(", ")]
+    return rows.join(describe(members), "digest", "left").select(F.col("key").alias(key), *[c for c in names if c != key.lower()])
 
 
 def fetch(rows: DataFrame, key: str) -> DataFrame:
