@@ -9,9 +9,10 @@ filter of each width start from the log-odds of the table's rows on the training
 
 Fitted on a bounded sample, at most SAMPLE labelled documents of each class in hash order, one fifth of them held out. A language's
 threshold is the cut with the best F1 on all its labelled documents that the network wasn't fitted on, weighted to the labels' mix of
-classes, or on those of all languages where it has fewer than MIN_CALIBRATION toxic ones; it is chosen from histograms of scores. Scoring covers whole texts of all documents.
+classes, and on those of all languages together, which weigh as much as PRIOR toxic ones of its own: the fewer a language has, the nearer it is
+to the common threshold. It is chosen from histograms of scores. Scoring covers whole texts of all documents.
 
-Defined cases: a null text or one without a word has score 0 and isn't toxic; without labels of both classes all scores
+Defined cases: an empty table gives no rows; texts of any length are scored whole; rows repeated with one doc_id have a result each; a null text or one without a word has score 0 and isn't toxic; without labels of both classes all scores
 are 0; an unknown or null language has the threshold of all languages; a null doc_id is scored like any other; other columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from textloom.llm.common import cut, renamed
 from textloom.llm.textbytes import U, Words, mix, slices, words
 
 #: BINS: of scores, for each unit of log-odds.
-SAMPLE, MIN_CALIBRATION, BINS = 2000, 8, 50
+SAMPLE, PRIOR, BINS = 2000, 8, 50
 ROWS, DIM, HASHES, WIDTHS, FILTERS, HEAD = 1 << 16, 8, 3, (1, 2, 3), 8, 5
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 5
 _SALT = [U(0x51ED270B0A1F39C1), U(0xB492B66FBE98F273), U(0x9AE16A3B2F90404F)]
@@ -200,18 +202,25 @@ def calibrate(net: Net, scored: DataFrame, labels: DataFrame) -> None:
     if t.empty:
         return
 
-    def chosen(t) -> float | None:
+    def histogram(t):
+        """Scores of the held-out rows in bins, with the weight of toxic and clean ones; empty where a class has none."""
         held = t[~t.own]
         n, h = t.groupby("toxic").n.sum(), held.groupby("toxic").n.sum()
-        if h.get(1, 0) < 1 or h.get(0, 0) < 1:
-            return None
-        by = held.assign(pos=held.n * (held.toxic == 1) * (n[1] / h[1]), neg=held.n * (held.toxic == 0) * (n[0] / h[0])).groupby("bin").agg({"low": "min", "high": "max", "pos": "sum", "neg": "sum"}).sort_index()
+        up = held.toxic.map(lambda c: n[c] / h[c])
+        return held.assign(pos=held.n * up * (held.toxic == 1), neg=held.n * up * (held.toxic == 0))[["bin", "low", "high", "pos", "neg"]]
+
+    def chosen(t) -> float:
+        by = t.groupby("bin").agg({"low": "min", "high": "max", "pos": "sum", "neg": "sum"}).sort_index()
         return best_cut(*(by[c].to_numpy(float) for c in ("low", "high", "pos", "neg")))
 
-    net.default = chosen(t) or net.default
+    every = histogram(t)
+    if not every.pos.sum() or not every.neg.sum():
+        return
+    net.default = chosen(every)
+    prior = every.assign(pos=every.pos * PRIOR / every.pos.sum(), neg=every.neg * PRIOR / every.pos.sum())
     for name, own in t.groupby("lang"):
-        if name and own.n[(own.toxic == 1) & ~own.own].sum() >= MIN_CALIBRATION and (value := chosen(own)) is not None:
-            net.thresholds[str(name)] = value
+        if name:
+            net.thresholds[str(name)] = chosen(pd.concat([histogram(own), prior]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | None:
