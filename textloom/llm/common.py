@@ -1,41 +1,16 @@
-"""What the operators share: tables, the shared scratch folder, lineage cuts and size-checked joins."""
+"""What the operators share: size-checked joins and private names; tables, the shared folder and lineage cuts are the engine's."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: An id set is broadcast up to this many ids (about 40 MB as a hash relation) and shuffled beyond it.
-BROADCAST_IDS = 500_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from textloom.storage import cut, shared_dir, table
 
+__all__ = ["BROADCAST_IDS", "cut", "join_ids", "private", "renamed", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) an own one."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        sc.setCheckpointDir(base)
-    return base
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage so that a lost executor redoes one stage, not all."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"textloom-{uuid.uuid4().hex}", name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: An id set is broadcast up to this many ids (about 40 MB as a hash relation) and shuffled beyond it.
+BROADCAST_IDS = 500_000
 
 
 def join_ids(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:

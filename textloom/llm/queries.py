@@ -101,7 +101,7 @@ SELECT doc_id, min(unit)::BIGINT AS unit, max(last)::BIGINT AS last_unit, min(st
   arg_min(keep_doc_id, a) AS keep_doc_id, arg_min(keep_unit, a)::BIGINT AS keep_unit FROM g GROUP BY doc_id, island""",
     "op8_mix_sources": r"""
 WITH d AS (SELECT d.doc_id, source, len(string_split(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), ' ')) AS n_tokens,
-  CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 ELSE 1.0 END AS w FROM documents d LEFT JOIN labels l USING (doc_id) WHERE trim(text) <> ''),
+  CASE quality WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.25::DOUBLE END AS known, coalesce(known, avg(known) OVER (PARTITION BY source), 1.0::DOUBLE) AS w FROM documents d LEFT JOIN labels l USING (doc_id) WHERE trim(text) <> ''),
 k AS (SELECT *, -ln((('0x' || md5('17-' || doc_id)[1:13])::BIGINT::DOUBLE + 1) / 4503599627370498.0) / w AS key FROM d),
 s AS (SELECT source, sum(n_tokens) AS total, CASE source WHEN 'src0' THEN 0.15::DOUBLE WHEN 'src1' THEN 0.15::DOUBLE WHEN 'src2' THEN 0.1::DOUBLE WHEN 'src3' THEN 0.05::DOUBLE END AS share FROM d GROUP BY source),
 b AS (SELECT source, total, floor(0.6::DOUBLE * sum(total) OVER () * coalesce(share, (1 - sum(share) OVER ()) * total / sum(CASE WHEN share IS NULL THEN total END) OVER ()))::BIGINT AS budget FROM s),
