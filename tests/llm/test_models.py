@@ -164,6 +164,46 @@ def test_secrets_of_any_name_and_length_are_replaced_whole(name, value):
     assert [(c.isdigit(), c.isupper()) for c in new] == [(c.isdigit(), c.isupper()) for c in value] or pii._hex(value)
 
 
+@pytest.mark.parametrize("text,found", [
+    ("mail " + "a" * 300 + "@x.org!", ["a" * 300 + "@x.org"]), ("q a@b.c.d.e.f.g.h.i.j.k.l.com now", ["a@b.c.d.e.f.g.h.i.j.k.l.com"]), ("-.-john.doe@site.co1, x", ["john.doe@site.co1"]),
+    ("password: hunter2", ["hunter2"]), ("Password='x!y@z#9$aa' z", ["x!y@z#9$aa"]), ("secret:      ABCDEFGHIJKLMNOPQRST", ["ABCDEFGHIJKLMNOPQRST"]), ("password: required", []), ("the key: value", []),
+    ("born 1899-05-01 or 31/12/2150 or 0000-01-01", ["1899-05-01", "31/12/2150"]),
+])
+def test_values_of_any_length_and_year(text, found):
+    new, spans = pii.scan(text)
+    assert [text[a:b] for a, b, _, _ in spans] == found and not any(v in new for v in found)
+    assert [pii.depseudonymise(k, p) for _, _, k, p in spans] == found
+
+
+def test_nothing_an_independent_scanner_finds_stays(spark):
+    """Simple patterns over whole documents: every value of theirs is gone, and what lies outside the spans is untouched."""
+    simple = {"email": r"[\w.+-]*\w@[\w-]+(?:\.[\w-]+)+", "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])", "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", "token": r"(?i)(?:token|key|secret)\W{1,4}([A-Za-z0-9]{16,})", "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)"}
+    rows, seen = pii.pseudonymised(table(spark, "/root/testdata/sf0.01", "documents")).collect(), 0
+    old = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    for r in rows:
+        text = old[r.doc_id] or ""
+        for p in simple.values():
+            for m in re.finditer(p, text):
+                a, b = m.span(m.lastindex or 0)
+                inside = [s for s in r.spans if s.start <= a and b <= s.stop]
+                assert inside or not any(c.isalnum() for c in m[0]), (r.doc_id, m[0])
+                seen += 1
+        at, keep, new = 0, [], r.text or ""
+        for s in r.spans:
+            keep += [text[at : s.start], s.pseudonym]
+            at = s.stop
+        assert "".join([*keep, text[at:]]) == new and r.n_pii == len(r.spans)
+    assert seen > 30
+
+
+def test_pii_defined_cases(spark):
+    rows = [(None, "mail a@b.org", "en", "x"), (1, "a@b.org " * 20_000, "en", "x"), (2, "call (555) 123-4567", "en", "x"), (2, "call (555) 123-4567", "en", "x"), (3, None, "en", "x"), (4, "", "en", "x")]
+    got = pii.pseudonymised(spark.createDataFrame(rows, KIND)).collect()
+    assert len(got) == 6 and sorted(r.n_pii for r in got) == [0, 0, 1, 1, 1, 20_000]
+    assert {r.text for r in got if r.doc_id == 2} == {pii.scan("call (555) 123-4567")[0]}
+    assert all("a@b.org" not in (r.text or "") for r in got)
+
+
 def test_a_huge_secret_takes_linear_time():
     value = "aB3_" * 100_000
     assert pii.depseudonymise("secret", pii.scan("key=" + value)[1][0][3]) == value
@@ -207,19 +247,30 @@ def test_mixture_equals_a_loop(spark):
         t = sum(n for _, n in own)
         b = math.floor(budget * total * (targets[s] if s in targets else (1 - sum(targets.values())) * t / free))
         epochs, left = divmod(b, t)
-        key = lambda k: -math.log((int(hashlib.md5(f"17-{k}".encode()).hexdigest()[:13], 16) + 1) / (2**52 + 2)) / weights.get(k, 1.0)
+        known = [weights[k] for k, _ in own if k in weights]
+        weight = {k: weights.get(k, sum(known) / len(known) if known else mixing.DEFAULT_WEIGHT) for k, _ in own}
+        key = lambda k: -math.log((int(hashlib.md5(f"17-{k}".encode()).hexdigest()[:13], 16) + 1) / (2**52 + 2)) / weight[k]
         upto, extra = 0, {}
-        for at, (k, n) in sorted(enumerate(own), key=lambda x: (key(x[1][0]), x[1][0]) if weights.get(x[1][0], 1.0) > 0 else (9e99, 0)):
-            ok = weights.get(k, 1.0) > 0
+        for at, (k, n) in sorted(enumerate(own), key=lambda x: (key(x[1][0]), *x[1]) if weight[x[1][0]] > 0 else (9e99, 0)):
+            ok = weight[k] > 0
             upto += n if ok else 0
             extra[at] = int(ok and upto <= left)
-        want += [(k, n, epochs + extra[at]) for at, (k, n) in enumerate(own) if epochs + extra[at]]
+        want += [(k, n, s, epochs + extra[at]) for at, (k, n) in enumerate(own) if epochs + extra[at]]
     w = spark.createDataFrame(list(weights.items()), "doc_id bigint, weight double")
     got = mixing.selected(docs, w, targets, budget).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.copies) for r in got if r.doc_id != 5) == sorted(x for x in want if x[0] != 5)
+    order = lambda x: (x[0], x[1], x[2] or "", x[3])
+    assert sorted(((r.doc_id, r.n_tokens, r.source, r.copies) for r in got), key=order) == sorted(want, key=order)
     out = mixing.mixed(docs, w, targets, budget)
-    assert out.columns == docs.columns and out.where("doc_id <> 5").count() == sum(c for k, _, c in want if k != 5)
-    assert mixing.selected(docs.limit(0), w).count() == 0 and mixing.selected(docs, None).count() > 0
+    taken = sorted(((r.doc_id, len(r.text.split()), r.source, 1) for r in out.collect()), key=order)
+    assert out.columns == docs.columns and taken == sorted((x[:3] + (1,) for x in want for _ in range(x[3])), key=order)
+    assert mixing.selected(docs.limit(0), w).count() == 0 and mixing.mixed(docs.limit(0), w).count() == 0 and mixing.selected(docs, None).count() > 0
+
+
+def test_mixed_keeps_to_the_budget_with_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "x"), (1, "d e f", "en", "x"), (2, "g h i", "en", "x"), (1, "a b c", "en", "y")], KIND)
+    picked, out = mixing.selected(docs, None, {}, 0.5).collect(), mixing.mixed(docs, None, {}, 0.5).collect()
+    assert sum(r.n_tokens * r.copies for r in picked) == sum(len(r.text.split()) for r in out) <= 6
+    assert sorted((r.doc_id, r.source) for r in picked for _ in range(r.copies)) == sorted((r.doc_id, r.source) for r in out)
 
 
 def test_buckets_do_not_change_the_selection(spark, monkeypatch):
@@ -239,6 +290,37 @@ def wav(seconds, extra=b""):
     return b"RIFF" + struct.pack("<I", 4 + len(fmt) + len(extra) + 8 + len(data)) + b"WAVE" + fmt + extra + b"data" + struct.pack("<I", len(data)) + data
 
 
+def test_headers_that_come_late():
+    far = 3 << 20
+    jpeg = b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 65535) + bytes(65533)) * 48 + b"\xff\xff\xff\xc0" + struct.pack(">HBHHB", 17, 8, 33, 44, 3) + bytes(20)
+    cut_off = b"\xff\xd8\xff\xc0" + struct.pack(">HBHH", 17, 8, 33, 44)
+    assert media.header(jpeg[:-40]) is None and [media.header(jpeg)[c] for c in ("width", "height", "channels")] == [44, 33, 3] and len(jpeg) > far
+    assert media.header(cut_off) is None and media.whole(cut_off)["channels"] is None and media.whole(cut_off)["media_type"] == "image/jpeg"
+    assert media.header(wav(0.1, b"LIST" + struct.pack("<I", far) + bytes(far)))["duration_s"] == 0.1
+    page = b"<html lang=en><head><title>T</title>"
+    assert media.header(b"\n" * 300 + page)["title"] == "T" and media.header(b"\n" * 3000) is None
+    assert media.header(b"<!-- " + b"c" * 5000 + b" -->" + page)["title"] == "T"
+    assert media.header(b"\xef\xbb\xbf  " + page)["lang"] == "en" and media.header(b"<p") is None
+    assert media.header(b"a < b and <html>" + bytes(30))["media_type"] == "application/octet-stream"
+
+
+def test_media_with_late_headers_and_clashing_key(spark):
+    rows = [("a", b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 65535) + random.Random(2).randbytes(65533)) * 20 + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, 33, 44, 3) + bytes(20)), ("b", b"\n" * 3000), ("c", b"<p>only a part"), ("c", b"x")]
+    out = media.media_columns(spark.createDataFrame(rows, "digest string, data binary"), "digest", "data")
+    got = {(r.digest, r.media_type): r for r in out.collect()}
+    assert got["a", "image/jpeg"].width == 44 and set(got) == {("a", "image/jpeg"), ("b", "application/octet-stream"), ("c", "text/html"), ("c", "application/octet-stream")}
+
+
+def test_media_of_pages_equals_sql(spark):
+    """Digest, size and type of the query's whole table."""
+    from tests.support import duck, sparked
+    from textloom.llm.queries import QUERIES
+
+    got = sparked(QUERIES["op9_media_columns"](spark, SMALL).select("page_id", "digest", "size", F.col("media_type").alias("kind")))
+    assert got == duck("""SELECT page_id, sha256(html) AS digest, octet_length(encode(html)) AS size,
+      CASE WHEN regexp_matches(html, '^\\s*<(!doctype html|html|head|body|title|meta|p|div|!--)', 'i') THEN 'text/html' ELSE 'application/octet-stream' END AS kind FROM pages""")
+
+
 def test_media_round_trip_and_metadata(spark):
     gif = b"GIF89a" + struct.pack("<HH", 9, 8) + bytes(9)
     jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 1500) + bytes(1498) + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, 33, 44, 3) + bytes(20)
