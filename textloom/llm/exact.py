@@ -1,13 +1,19 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
 Map side: a memtable takes digest -> smallest doc_id; when full it is flushed as a run sorted by digest, cut at shard
-borders, with a Bloom filter. A document whose digest the memtable already holds is a hit at once. Reduce side, for
-each shard: a digest that no other run's filter knows is unique and leaves the merge; the rest is compacted level by level,
-the smallest identifier of a digest surviving and every other becoming a hit. Hits are verified byte by byte against
-the kept document's text, so a digest collision can't remove a document.
-
-Defined cases: a null text equals nothing, an empty text equals an empty text; rows with a null doc_id are never
-reported; rows repeated with the same doc_id are one document and not reported against themselves; other columns are ignored.
+borders. A document whose digest the memtable already holds is a hit at once and goes no further, so a text that a third of all
+documents have sends one digest a memtable. Reduce side, for each shard: runs enter an index of levels, each sorted and with a Bloom filter. A
+level is asked only if its filter may hold the digest; what a level knows is a hit, the smaller identifier stays, and what none
+knows becomes a new level. Levels are compacted as soon as one isn't twice as large as the one after it, so their number is logarithmic, as
+is what a digest costs. The number of shards follows the number of documents. A shard holds its distinct digests only; hits leave it as they are found, and get their
+keeper by a join.
+
+Hits are verified byte by byte against the kept document's text, so a digest collision can't remove a document: a keeper with more
+than SALT hits is compared in several tasks, and hits that differ from the keeper's text are compared among themselves.
+
+Defined cases: an empty table gives no rows; a null text equals nothing, an empty text equals an empty text; texts of any length are compared whole; rows with a null
+doc_id are never reported (and stay in drop_copies()); rows repeated with the same doc_id are one document and not reported against themselves, and a doc_id with
+several texts is reported if one of them is a copy; among equal texts (ties) the smallest doc_id stays; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, join_ids, renamed
 from textloom.llm.textbytes import U, raw
 
-MEMTABLE, FILTER_BITS, FILTER_HASHES = 200_000, 10, 4
+MEMTABLE, PER_SHARD, FILTER_BITS, FILTER_HASHES, SALT = 200_000, 1_000_000, 10, 4, 10_000
 DIGEST = np.dtype([("hi", ">u8"), ("lo", ">u8")])
 
 
@@ -50,9 +56,8 @@ class Filter:
         return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
 
-def compact(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merge two sorted runs (digests, ids) of unique digests: the merged run, and digest and id of those that lost."""
-    d, i = np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+def compact(d: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests and identifiers sorted, each digest once with its smallest identifier; and digest and identifier of those that lost."""
     order = np.lexsort((i, d["lo"], d["hi"]))
     d, i = d[order], i[order]
     new = np.ones(len(d), bool)
@@ -60,35 +65,93 @@ def compact(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     return d[new], i[new], d[~new], i[~new]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], shards: int, memtable: int) -> Iterator[pa.RecordBatch]:
+class Level:
+    """A sorted run of distinct digests with a filter; hit: those of which another document was seen."""
+
+    def __init__(self, d: np.ndarray, i: np.ndarray, hit: np.ndarray):
+        order = np.lexsort((d["lo"], d["hi"]))
+        self.d, self.i, self.hit, self.filter = d[order], i[order], hit[order], Filter.of(d)
+        self.hi, self.lo = self.d["hi"].astype(U), self.d["lo"].astype(U)
+
+    def find(self, d: np.ndarray) -> np.ndarray:
+        """Place of each digest, -1 where it isn't here."""
+        out = np.full(len(d), -1, np.int64)
+        todo = np.flatnonzero(self.filter.may_hold(d))
+        hi, lo = d["hi"].astype(U)[todo], d["lo"].astype(U)[todo]
+        at = np.searchsorted(self.hi, hi)
+        while len(todo):
+            more = at < len(self.hi)
+            more[more] = self.hi[at[more]] == hi[more]
+            same = more.copy()
+            same[more] = self.lo[at[more]] == lo[more]
+            out[todo[same]] = at[same]
+            more &= ~same  # the next of those with an equal first half
+            todo, hi, lo, at = todo[more], hi[more], lo[more], at[more] + 1
+        return out
+
+
+class Index:
+    """The levels of one shard, the largest first."""
+
+    def __init__(self) -> None:
+        self.levels: list[Level] = []
+
+    def add(self, d: np.ndarray, i: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes a run of distinct digests; returns digest and identifier of the documents that lost."""
+        lost_d, lost_i = [d[:0]], [i[:0]]
+        for level in self.levels:
+            at = level.find(d)
+            k = np.flatnonzero(at >= 0)
+            if not len(k):
+                continue
+            old, new = level.i[at[k]], i[k]
+            differ = old != new
+            level.i[at[k]] = np.minimum(old, new)
+            level.hit[at[k]] |= differ | hit[k]
+            lost_d.append(d[k][differ])
+            lost_i.append(np.maximum(old, new)[differ])
+            d, i, hit = d[at < 0], i[at < 0], hit[at < 0]
+        if len(d):
+            self.levels.append(Level(d, i, hit))
+        while len(self.levels) > 1 and len(self.levels[-2].d) < 2 * len(self.levels[-1].d):
+            y, x = self.levels.pop(), self.levels.pop()  # they have no digest in common
+            self.levels.append(Level(np.concatenate([x.d, y.d]), np.concatenate([x.i, y.i]), np.concatenate([x.hit, y.hit])))
+        return np.concatenate(lost_d), np.concatenate(lost_i)
+
+
+RUN = "shard int, digests binary, ids binary, hit binary, lost_digests binary, lost_ids binary"
+#: A document of which a smaller one with its digest is known, or (keeper) the smallest of a digest that has such.
+SEEN = "hi bigint, lo bigint, doc_id bigint, keeper boolean"
+
+
+def _rows(d: np.ndarray, i: np.ndarray, keeper: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(d["hi"].astype(U).view(np.int64)), pa.array(d["lo"].astype(U).view(np.int64)), pa.array(i), pa.array(np.full(len(d), keeper))], [c.split()[0] for c in SEEN.split(", ")])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], shards: int, memtable: int, size: int) -> Iterator[pa.RecordBatch]:
     table: dict[bytes, int] = {}
     lost: list[tuple[bytes, int]] = []
 
     def flush() -> pa.RecordBatch:
         d = np.frombuffer(b"".join(table), DIGEST)
         i = np.fromiter(table.values(), np.int64, len(table))
-        order = np.lexsort((d["lo"], d["hi"]))
-        d, i = d[order], i[order]
+        d, i, _, _ = compact(d, i)
         ld = np.frombuffer(b"".join(x for x, _ in lost), DIGEST)
         li = np.array([x for _, x in lost], np.int64)
-        ls = ((ld["hi"].astype(U) >> U(32)) * U(shards)) >> U(32)
-        at = np.searchsorted(((d["hi"].astype(U) >> U(32)) * U(shards)) >> U(32), np.arange(shards + 1, dtype=U))
-        rows = []
-        for s in range(shards):
-            a, b = at[s], at[s + 1]
-            own = ls == U(s)
-            if a < b:
-                rows.append((s, d[a:b].tobytes(), i[a:b].tobytes(), Filter.of(d[a:b]).bits.tobytes(), ld[own].tobytes(), li[own].tobytes()))
+        hit = np.isin(d, np.unique(ld)) if len(ld) else np.zeros(len(d), bool)
+        ends = np.searchsorted(((d["hi"].astype(U) >> U(32)) * U(shards)) >> U(32), np.arange(shards + 1, dtype=U))
+        rows = [(s, d[a:b].tobytes(), i[a:b].tobytes(), hit[a:b].tobytes(), b"", b"") for s, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+        rows[0] = (*rows[0][:4], ld.tobytes(), li.tobytes())  # of all shards: they don't go there
         table.clear()
         lost.clear()
         kinds = [pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "digests", "ids", "filter", "lost_digests", "lost_ids"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in RUN.split(", ")])
 
     for batch in batches:
         data, offs = raw(batch.column("text"))
         view = memoryview(data)
         for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-            key = hashlib.blake2b(view[offs[k] : offs[k + 1]], digest_size=16).digest()
+            key = hashlib.blake2b(view[offs[k] : offs[k + 1]], digest_size=size).digest().ljust(16, b"\0")
             old = table.get(key)
             if old is None:
                 table[key] = doc
@@ -101,71 +164,73 @@ def _runs(batches: Iterator[pa.RecordBatch], shards: int, memtable: int) -> Iter
         yield flush()
 
 
-def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shards: dict[int, list[tuple]] = {}
+def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            shards.setdefault(row["shard"], []).append(row)
-    for rows in shards.values():
-        runs = [(np.frombuffer(r["digests"], DIGEST), np.frombuffer(r["ids"], np.int64)) for r in rows]
-        filters = [Filter(np.frombuffer(r["filter"], np.uint8)) for r in rows]
-        lost = [(np.frombuffer(r["lost_digests"], DIGEST), np.frombuffer(r["lost_ids"], np.int64)) for r in rows]
-        hit = np.concatenate([x for x, _ in lost])
-        level = []
-        for k, (d, i) in enumerate(runs):
-            stay = np.isin(d, hit) if len(hit) else np.zeros(len(d), bool)
-            for j, f in enumerate(filters):
-                if j != k and not stay.all():
-                    rest = np.flatnonzero(~stay)
-                    stay[rest[f.may_hold(d[rest])]] = True
-            level.append((d[stay], i[stay]))
-        while len(level) > 1:
-            after = []
-            for k in range(0, len(level) - 1, 2):
-                d, i, ld, li = compact(level[k], level[k + 1])
-                after.append((d, i))
-                lost.append((ld, li))
-            level = after + level[len(level) // 2 * 2 :]
-        d, i = level[0]
-        ld, li = np.concatenate([x for x, _ in lost]), np.concatenate([x for _, x in lost])
-        if not len(ld):
-            continue
-        both = np.concatenate([d, ld])
-        _, rank = np.unique(both, return_inverse=True)
-        keep = np.full(rank.max() + 1, -1, np.int64)
-        keep[rank[: len(d)]] = i
-        keep = keep[rank[len(d) :]]
-        pair = np.unique(np.stack([li, keep], axis=1)[li != keep], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["doc_id", "keeper"])
-
-
-def _same_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by keeper and doc_id: each text against those of its group seen before, which differ from each other."""
-    last, seen = None, {}
+        for d, i in zip(batch.column("lost_digests").to_pylist(), batch.column("lost_ids").to_pylist(), strict=True):
+            if d:
+                yield _rows(np.frombuffer(d, DIGEST), np.frombuffer(i, np.int64), False)
+
+
+def _compacted(batches: Iterator[pa.RecordBatch], memtable: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard: one shard's index is held at a time, and a buffer of small runs."""
+    index, shard, held = Index(), None, 0
+    parts: list[tuple[bytes, bytes, bytes]] = []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if parts:
+            d, i, hit = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*parts, strict=True), (DIGEST, np.int64, bool), strict=True))
+            one, least, ld, li = compact(d, i)
+            flag = np.isin(one, np.unique(np.concatenate([ld, d[hit]]))) if len(ld) or hit.any() else np.zeros(len(one), bool)
+            yield _rows(ld, li, False)
+            yield _rows(*index.add(one, least, flag), False)
+            parts.clear()
+            held = 0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        yield from settle()
+        for level in index.levels:
+            yield _rows(level.d[level.hit], level.i[level.hit], True)
+        index.levels.clear()
+
     for batch in batches:
-        out = []
-        data, offs = raw(batch.column("text"))
-        ids, keepers = batch.column("doc_id").to_pylist(), batch.column("keeper").to_pylist()
-        for k, (doc, keeper) in enumerate(zip(ids, keepers, strict=True)):
-            if keeper != last:
-                last, seen = keeper, {}
-            text = data[offs[k] : offs[k + 1]].tobytes()
-            first = seen.setdefault(text, doc)
-            if first != doc:
-                out.append((doc, first))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["doc_id", "keep_id"])
-
-
-def exact_copies(docs: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
+        for s, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "digests", "ids", "hit")), strict=True):
+            if s != shard:
+                yield from close()
+                shard = s
+            parts.append(tuple(row))
+            held += len(row[2])
+            if held >= memtable:
+                yield from settle()
+    yield from close()
+
+
+def exact_copies(docs: DataFrame, memtable: int = MEMTABLE, digest_bytes: int = 16) -> DataFrame:
     """(doc_id, keep_id): each document whose bytes equal those of one with a smaller doc_id, and the smallest such."""
     spark = docs.sparkSession
+    shards = max(-(-docs.count() // PER_SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = renamed(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = src.mapInArrow(lambda it: _runs(it, shards, memtable), "shard int, digests binary, ids binary, filter binary, lost_digests binary, lost_ids binary")
-    hits = cut(runs.repartition(shards, "shard").mapInArrow(_compacted, "doc_id bigint, keeper bigint"), "hits")
-    owner = cut(hits.unionAll(hits.select(F.col("keeper").alias("doc_id"), "keeper")).distinct(), "owners")
-    texts = join_ids(src, owner, "doc_id", "inner")
-    return texts.repartition("keeper").sortWithinPartitions("keeper", "doc_id").mapInArrow(_same_bytes, "doc_id bigint, keep_id bigint").distinct()
+    runs = cut(src.mapInArrow(lambda it: _runs(it, shards, memtable, digest_bytes), RUN), "runs")
+    merged = runs.select("shard", "digests", "ids", "hit").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _compacted(it, memtable), SEEN)
+    seen = cut(merged.unionAll(runs.select("lost_digests", "lost_ids").mapInArrow(_lost, SEEN)), "seen")
+    keepers = cut(seen.where("keeper").select("hi", "lo", F.col("doc_id").alias("keeper")), "keepers")
+    hits = cut(join_ids(seen.where("not keeper").select("hi", "lo", "doc_id"), keepers, ["hi", "lo"], "inner").where("doc_id <> keeper").select("doc_id", "keeper").distinct(), "hits")
+
+    hot = cut(hits.groupBy("keeper").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")).where("salts > 1"), "hot")
+    salts = F.coalesce("salts", F.lit(1))
+    few = join_ids(hits, hot, "keeper", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).select("doc_id", "keeper", "salt")
+    kept = join_ids(hits.select("keeper").distinct(), hot, "keeper", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("keeper", "salt")
+    kept = join_ids(src.select(F.col("doc_id").alias("keeper"), F.col("text").alias("kept")), cut(kept, "kept"), "keeper", "inner")
+    checked = join_ids(src, cut(few, "few"), "doc_id", "inner").join(kept, ["keeper", "salt"]).select("doc_id", "keeper", (F.col("text") == F.col("kept")).alias("same"))
+    checked = cut(checked.groupBy("doc_id", "keeper").agg(F.max("same").alias("same")), "checked")
+    out = checked.where("same").select("doc_id", F.col("keeper").alias("keep_id"))
+    other = checked.where("not same").select("doc_id", "keeper")
+    if not other.isEmpty():  # equal digests of different bytes
+        texts = src.join(other, "doc_id")
+        first = texts.groupBy("keeper", "text").agg(F.min("doc_id").alias("keep_id"))
+        out = out.unionAll(texts.join(first, ["keeper", "text"]).where("doc_id <> keep_id").select("doc_id", "keep_id"))
+    # a document may lose more than once on its way: its last keeper is the smallest
+    return out.groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
