@@ -133,10 +133,33 @@ def test_exact_copies_equal_brute_force(spark, memtable):
     assert kept == sorted((i or -1, t or "") for i, t in rows if i not in {x for x, _ in want})
 
 
-def test_digest_collision_is_not_a_copy(spark):
-    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "a", 1), (4, "b", 1)], "doc_id bigint, text string, keeper bigint").orderBy("keeper", "doc_id").coalesce(1)
-    got = rows.mapInArrow(exact._same_bytes, "doc_id bigint, keep_id bigint").collect()
-    assert sorted((r.doc_id, r.keep_id) for r in got) == [(3, 1), (4, 2)]
+@pytest.mark.parametrize("salt", [10_000, 2])
+def test_digest_collision_is_not_a_copy(spark, monkeypatch, salt):
+    """Digests of one byte: most collide, and only equal bytes are copies; with hot keepers in several tasks too."""
+    monkeypatch.setattr(exact, "SALT", salt)
+    rows = [(k, f"text {k % 300}") for k in range(900)] + [(2000 + k, "hot") for k in range(50)]
+    got = sorted((r.doc_id, r.keep_id) for r in exact.exact_copies(frame(spark, rows), 100, digest_bytes=1).collect())
+    assert got == [(k, k % 300) for k in range(300, 900)] + [(2000 + k, 2000) for k in range(1, 50)]
+
+
+def test_index_levels_find_what_was_added():
+    rng = np.random.default_rng(3)
+    digests = np.unique(np.frombuffer(rng.bytes(16 * 500), exact.DIGEST))
+    digests["hi"] //= np.uint64(2**62)  # equal first halves
+    digests, index, lost, least = np.unique(digests), exact.Index(), defaultdict(set), {}
+    for _ in range(40):
+        k = np.unique(rng.integers(0, len(digests), 60))
+        ids = rng.integers(0, 10**6, len(k))
+        for d, i in zip(k, ids, strict=True):
+            if d in least and least[d] != i:
+                lost[d].add(max(least[d], i))
+            least[d] = min(least.get(d, i), i)
+        ld, li = index.add(digests[k], ids, np.zeros(len(k), bool))
+        for d, i in zip(ld, li, strict=True):
+            lost[int(np.flatnonzero(digests == d)[0])].remove(i)
+    have = {int(np.flatnonzero(digests == d)[0]): int(i) for level in index.levels for d, i in zip(level.d, level.i, strict=True)}
+    assert have == least and not any(lost.values()) and len(index.levels) <= 10
+    assert sum(len(x.d) for x in index.levels) == len(least)
 
 
 def test_bloom_filter_has_no_false_negative():
@@ -170,7 +193,9 @@ def brute_spans(rows, length):
 
 @pytest.mark.parametrize("length,anchor,per", [(50, None, 40_000), (8, None, 40_000), (8, 1, 300), (5, 3, 100)])
 def test_repeated_spans_equal_brute_force(spark, monkeypatch, length, anchor, per):
-    rows = corpus(5, 40) + [r for r in ODD if r[0] not in (903, 904)] + [(950, "y z " * 60), (951, "y z " * 55)]
+    # many suffixes with one first word, and one passage in many documents
+    hot = [(970 + k, f"{k} the lead " + " ".join(f"the w{(k * 7 + j) % 40}" for j in range(30)) + " one hot passage of words that each of these holds and that is long enough to count as one " * 3 + f"end {k}") for k in range(25)]
+    rows = corpus(5, 40) + [(i, t if t is None else t[:2000]) for i, t in ODD] + [(950, "y z " * 60), (951, "y z " * 55)] + hot + [hot[3], (1100, hot[3][1])]
     monkeypatch.setattr(suffix, "PER_TARGET", per)
     monkeypatch.setattr(suffix, "CHUNK", 50)
     monkeypatch.setattr(suffix, "RUN_BYTES", 5000)

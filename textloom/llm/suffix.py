@@ -8,20 +8,26 @@ ANCHOR-word grams in a window the one with the smallest hash is its anchor (the
 the window's words alone, so equal windows have equal anchors at the same place. Suffixes start at anchors, and only at
 those whose gram occurs more than once; each reaches to the end of the last window it is the anchor of and carries the words before it as left context.
 
-  1. anchors of all texts: gram hash, place, and the suffix's first bytes; grams that occur once are dropped;
-  2. every task sorts its suffixes into a run, cuts it at splitters (quantiles of first bytes) and front-codes it:
+  1. anchors of all texts: gram hash and place, and of one in SAMPLE the suffix's first HEAD bytes; grams that occur once are dropped;
+  2. every task sorts its suffixes into a run, of those that agree in all (left context, suffix and windows) only the first goes on and the others
+     are removed at once, and cuts it at splitters (quantiles of the sampled beginnings, several words each) and front-codes it:
      length of the prefix shared with the suffix before, and the rest; the pieces are exchanged;
   3. a task merges the pieces of its range with a loser tree that keeps with each run's head its common prefix with the last
      winner: of two heads the one that shares more is smaller, bytes are compared only from a shared length on, and never twice;
   4. the merge yields the common prefixes of neighbours; windows are equal where right parts lie in one stretch of long enough
      common prefixes and left contexts agree.
 
-Defined cases: null texts, null doc_ids and texts of fewer than LENGTH words have no window; words are cut at ASCII
-white space and compared as they are; rows repeated with one doc_id are one document; other columns are ignored.
+A common first word doesn't make a large range, as splitters go on behind it; a passage that very many documents hold sends one suffix a run
+(RUN_BYTES of them). There are at most TARGETS ranges, so the splitters have a bounded size.
+
+Defined cases: an empty table gives no rows; null texts, null doc_ids and texts of fewer than LENGTH words have no window; texts of any length are taken whole; words are cut at ASCII
+white space and compared as they are; rows repeated with one doc_id are one document; of equal windows (ties) the first by (doc_id, position) stays; other columns are
+ignored, whatever their names, and without_spans() keeps them.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textloom.llm.common import cut, join_ids, private, renamed
-from textloom.llm.textbytes import _WORDS_BASE, SOLID, Words, prefix, ranges, slices, words
+from textloom.llm.common import BROADCAST_BYTES, cut, private, renamed
+from textloom.llm.textbytes import _WORDS_BASE, SOLID, U, Words, mix, prefix, ranges, slices, words
 
-LENGTH, ANCHOR, PER_TARGET, CHUNK, RUN_BYTES = 50, 25, 40_000, 8_000, 16 << 20
+LENGTH, PER_TARGET, CHUNK, RUN_BYTES = 50, 40_000, 8_000, 16 << 20
+SAMPLE, HEAD, PER_SPLIT, TARGETS = 16, 32, 20, 100_000
 
 
 def owners(w: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,21 +70,28 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Ite
             own = np.unique(own)
             if not len(own):
                 continue
-            data = np.concatenate([w.data, np.zeros(8, np.uint8)])
-            head = np.zeros(len(own), np.uint64)
-            for k in range(8):  # any order that the sorted bytes agree with will do; a byte of white space ends it
-                head = (head << np.uint64(8)) | data[w.start[own] + k].astype(np.uint64) * (w.start[own] + k < w.end[own])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[own].view(np.int64)), part.column("doc_id").take(pa.array(w.doc[own])), pa.array((own - w.first[w.doc[own]]).astype(np.int32)), pa.array((head >> np.uint64(1)).astype(np.int64))],
-                ["gram", "doc_id", "word", "head"],
-            )
+            ids, word = part.column("doc_id").take(pa.array(w.doc[own])), own - w.first[w.doc[own]]
+            some = mix(gram[own] ^ mix(ids.to_numpy().astype(U) * U(0x9E3779B97F4A7C15) + word.astype(U))) % U(SAMPLE) == 0
+            heads = [_head(w, k, k + anchor) if s else None for k, s in zip(own.tolist(), some.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[own].view(np.int64)), ids, pa.array(word.astype(np.int32)), pa.array(heads, pa.binary())], ["gram", "doc_id", "word", "head"])
+
+
+def _head(w: Words, a: int, b: int) -> bytes:
+    """The first HEAD bytes of the words a to b, one space after each."""
+    out = b""
+    while a < b and len(out) < HEAD:
+        out += w.data[w.start[a] : w.end[a]].tobytes() + b" "
+        a += 1
+    return out[:HEAD]
 
 
-RUN = "target int, n int, doc_id binary, word binary, before binary, after binary, shared binary, rest_len binary, rest binary, left_text binary"
+def _head_of(suffix: bytes, anchor: int) -> bytes:
+    """The same of a suffix's first anchor words: suffixes that share a window have it in common."""
+    out = suffix[:HEAD]
+    return b" ".join([*out.split(b" ")[:anchor], b""]) if out.count(b" ") >= anchor else out
 
 
-def _head(s: bytes) -> int:
-    return int.from_bytes(s[: s.index(b" ")][:8].ljust(8, b"\0"), "big") >> 1
+RUN = "target int, n int, doc_id binary, word binary, before binary, after binary, shared binary, rest_len binary, rest binary, left_text binary, gone binary"
 
 
 def front_code(sorted_suffixes: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -102,21 +116,31 @@ def mismatch(a: bytes, b: bytes, at: int) -> int:
     return top
 
 
-def _runs(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
     key: list[bytes] = []
     left: list[bytes] = []
     meta: list[tuple[int, int, int, int]] = []  # doc_id, anchor word, windows before and after the anchor's place
     held = 0
 
     def flush() -> pa.RecordBatch:
-        order = sorted(range(len(key)), key=key.__getitem__)
-        at = np.searchsorted(splitters, np.array([_head(key[k]) for k in order], np.int64), "right")
+        order = sorted(range(len(key)), key=lambda k: (key[k], left[k], meta[k][2:], meta[k][:2]))
+        first, gone = order[:1], []
+        for k in order[1:]:
+            f = first[-1]
+            if key[k] == key[f] and left[k] == left[f] and meta[k][2:] == meta[f][2:]:
+                if meta[k][:2] != meta[f][:2]:
+                    doc, word, before, after = meta[k]
+                    gone.append((doc, word - before, word - after))
+            else:
+                first.append(k)
+        at = np.array([bisect.bisect_right(splitters, _head_of(key[k], anchor)) for k in first])
         rows = []
         for t in np.unique(at):
-            own = [order[k] for k in np.flatnonzero(at == t)]
+            own = [first[k] for k in np.flatnonzero(at == t)]
             shared, rest = front_code([key[k] for k in own])
             m = np.array([meta[k] for k in own], np.int64)
-            rows.append((int(t), len(own), m[:, 0].tobytes(), *(m[:, c].astype(np.int32).tobytes() for c in (1, 2, 3)), shared.tobytes(), np.array([len(r) for r in rest], np.int32).tobytes(), b"".join(rest), b"\n".join(left[k] for k in own)))
+            rows.append([int(t), len(own), m[:, 0].tobytes(), *(m[:, c].astype(np.int32).tobytes() for c in (1, 2, 3)), shared.tobytes(), np.array([len(r) for r in rest], np.int32).tobytes(), b"".join(rest), b"\n".join(left[k] for k in own), b""])
+        rows[meta[0][0] % len(rows)][-1] = np.array(gone, np.int64).tobytes()  # goes along with some piece
         key.clear()
         left.clear()
         meta.clear()
@@ -253,6 +277,8 @@ def _merged(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iter
             common.append(n)
             order.append(what)
         yield _removed(np.array(order), np.array(common), col, left, ends, length, anchor)
+        gone = np.concatenate([np.frombuffer(r["gone"], np.int64) for r in rows]).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in gone.T.copy()], ["doc_id", "first", "last"])
 
 
 def _removed(order: np.ndarray, common: np.ndarray, col: dict[str, np.ndarray], left: bytes, ends: np.ndarray, length: int, anchor: int) -> pa.RecordBatch:
@@ -286,17 +312,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int | None = N
     anchor = anchor or max(1, length // 2)
     spark = docs.sparkSession
     src = renamed(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    anchors = cut(src.mapInArrow(lambda it: _anchors(it, length, anchor), "gram bigint, doc_id bigint, word int, head bigint"), "anchors")
+    anchors = cut(src.mapInArrow(lambda it: _anchors(it, length, anchor), "gram bigint, doc_id bigint, word int, head binary"), "anchors")
     many = anchors.groupBy("gram").count().where("count > 1").select("gram")
     again = cut(anchors.join(many, "gram").select("doc_id", "word", "head"), "again")
-    n = again.count()
-    targets = max(1, -(-n // PER_TARGET))
-    splitters = np.zeros(0, np.int64)
+    n, sampled = again.agg(F.count("*"), F.count("head")).first()
+    targets = min(max(1, -(-n // PER_TARGET)), TARGETS)
+    splitters: list[bytes] = []
     if targets > 1:
-        at = [k / targets for k in range(1, targets)]
-        splitters = np.unique(np.array(again.agg(F.percentile_approx("head", at, max(10_000, 4 * targets))).first()[0], np.int64))
+        rate = min(1.0, PER_SPLIT * targets / max(sampled, 1))  # PER_SPLIT beginnings a target, whatever the size
+        some = again.where(F.col("head").isNotNull() & (F.pmod(F.xxhash64("doc_id", "word", F.lit(5)), F.lit(1 << 20)) < int(rate * (1 << 20)))).select("head").toArrow()["head"]
+        heads = sorted(some.to_pylist())
+        splitters = sorted({heads[k * len(heads) // targets] for k in range(1, targets)}) if heads else []
     wanted = cut(again.groupBy("doc_id").agg(F.collect_set("word").alias("anchors")), "wanted")
-    texts = join_ids(src, wanted, "doc_id", "inner").select("doc_id", "text", "anchors")
+    rows, words_in = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
+    # a row of a hash relation takes about 60 bytes, and 8 for each anchor
+    few = F.broadcast(wanted) if 60 * rows + 8 * words_in <= BROADCAST_BYTES else wanted
+    texts = src.join(few, "doc_id").select("doc_id", "text", "anchors")
     runs = texts.mapInArrow(lambda it: _runs(it, splitters, length, anchor), RUN)
     width = max(len(splitters) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = runs.repartition(width, "target").sortWithinPartitions("target").mapInArrow(lambda it: _merged(it, length, anchor), "doc_id bigint, first bigint, last bigint")
