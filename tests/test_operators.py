@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import boolquery, index, invert, kv, neardup, segment, sentences, spell, stats, urlfeatures
+from textloom.streaming.sources import search_stream, socket_sink, table_stream
 
 DOCS = "doc_id bigint, text string"
 
@@ -20,8 +21,8 @@ def ids(df):
 
 
 @pytest.fixture(scope="module")
-def idx(spark):
-    return boolquery.index_of(docs(spark, "a b", "b c", "c d A", None, ""))
+def idx(spark, tmp_path_factory):
+    return index.store(docs(spark, "a b", "b c", "c d A", None, ""), str(tmp_path_factory.mktemp("index")))
 
 
 @pytest.mark.parametrize(
@@ -29,12 +30,12 @@ def idx(spark):
     [("a", [1, 3]), ("a & c", [3]), ("!a", [2, 4, 5]), ("!(!a)", [1, 3]), ("a | b & c", [1, 2, 3]), ("(a | b) & c", [2, 3]), ("zzz", []), ("a & !zzz", [1, 3]), ("!(a | b)", [4, 5]), ("!a & !b", [4, 5]), ("!!a", [1, 3]), ("A", [1, 3])],
 )
 def test_boolean_search(idx, query, want):
-    assert ids(boolquery.search(*idx, query)) == want
+    assert ids(boolquery.search(idx, query)) == want
 
 
 def test_boolean_compat_leaves_the_last_document_out(idx):
-    assert ids(boolquery.search(*idx, "!a", compat=True)) == [2, 4]
-    assert ids(boolquery.search(*idx, "!(!a)", compat=True)) == [2, 4]
+    assert ids(boolquery.search(idx, "!a", compat=True)) == [2, 4]
+    assert ids(boolquery.search(idx, "!(!a)", compat=True)) == [2, 4]
 
 
 @pytest.mark.parametrize("query", ["a b", "", "a &", "(a", "a)", "& a", "!"])
@@ -43,12 +44,68 @@ def test_malformed_queries(query):
         boolquery.parse(query)
 
 
-def test_batch_search_equals_single(spark, idx):
-    d = docs(spark, "a b", "b c", "c d A", "x", "")
-    one, uni = boolquery.index_of(d)
+def test_batch_search_equals_single(spark, tmp_path):
+    d = docs(spark, "a b", "b c", "c d A", "x", "", None)
+    one = index.store(d, str(tmp_path))
     asked = ["a", "!a & b", "(a | b) & !c", "!zzz"]
-    got = {(r.query, r.doc_id) for r in boolquery.search_many(d, asked).collect()}
-    assert got == {(q, k) for q in asked for k in ids(boolquery.search(one, uni, q))}
+    want = {(q, k) for q in asked for k in ids(boolquery.search(one, q))}
+    for at_once in (64, 1):
+        assert {(r.query, r.doc_id) for r in boolquery.search_many(one, asked, at_once).collect()} == want
+    assert {(r.query, r.doc_id) for r in boolquery.scan_many(d, asked).collect()} == want
+    assert boolquery.search_many(one, []).count() == 0 and one.df("a", "zzz") == {"a": 2}
+
+
+def test_a_leaf_reads_only_its_term(idx):
+    plan = idx.docs("a")._jdf.queryExecution().toString()
+    assert "EqualTo(term,a)" in plan.split("PushedFilters")[1]
+
+
+def test_stream_of_queries(spark, idx, tmp_path):
+    spark.createDataFrame([("a",), ("!a & b",), ("a &",), (None,), ("a",)], "query string").write.parquet(str(tmp_path / "q.parquet"))
+    asked = table_stream(spark, str(tmp_path), "q")
+    assert sorted((r.query, r.n) for r in search_stream(asked, idx, str(tmp_path / "out")).collect()) == [("!a & b", 1), ("a", 2), ("a &", None)]
+
+
+def test_lines_are_sent_to_a_socket(spark):
+    import socket
+    import threading
+
+    got, server = [], socket.create_server(("127.0.0.1", 0))
+
+    def listen():
+        server.settimeout(30)
+        while b"".join(got).count(b"\n") < 3:
+            c, _ = server.accept()
+            while part := c.recv(4096):
+                got.append(part)
+
+    t = threading.Thread(target=listen)
+    t.start()
+    socket_sink("127.0.0.1", server.getsockname()[1])(spark.createDataFrame([("one",), ("two",), (None,), ("three",)], "line string"), 0)
+    t.join(30)
+    server.close()
+    assert sorted(b"".join(got).split()) == [b"one", b"three", b"two"]
+
+
+def test_expired_state_is_dropped(spark, tmp_path):
+    """Two runs of one stream: values that ended before the watermark are no rows of the state store any more."""
+    from textloom.streaming import kv as stream
+
+    stream.use_rocksdb(spark)
+    at = datetime(2024, 1, 1)
+    kind = "event_id bigint, ts timestamp, key bigint, op string, value double, ttl int"
+    out, first = str(tmp_path / "out"), [(k, at + timedelta(seconds=k), k, "set", float(k), 0 if k == 7 else 60) for k in range(20)]
+    later = [(100, at + timedelta(days=2), 50, "set", 1.0, 60), (101, at + timedelta(days=2), 7, "get", None, None), (102, at + timedelta(days=2), 3, "get", None, None)]
+    last = [(200, at + timedelta(days=4), 60, "set", 1.0, 60), (201, at + timedelta(days=4, seconds=1), 60, "get", None, None)]
+    answers = []
+    for k, rows in enumerate((first, later, last)):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"in/{k}"))
+        source = spark.readStream.schema(kind).parquet(str(tmp_path / "in/*"))
+        answers = stream.run_once(spark, stream.answers(source), path=out).collect()
+    assert {r.event_id: r.answer for r in answers} == {101: 7.0, 102: None, 201: 1.0}
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(out + "-checkpoint")
+    left = {r[0] for r in state.select("key.key").collect()}
+    assert left <= {7, 60, 50} and 7 in left
 
 
 def test_postings_blocks_and_codes(spark):

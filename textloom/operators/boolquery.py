@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.index import term_docs
+from textloom.operators.index import Stored
 
 
 @dataclass(frozen=True)
@@ -108,19 +108,20 @@ def flat(n: Node) -> Node:
     return Op(n.kind, tuple(dict.fromkeys(parts)))
 
 
-def search(index: DataFrame, universe: DataFrame, query: str, df: dict[str, int] | None = None, compat: bool = False) -> DataFrame:
-    """doc_id of the documents that match, as set algebra over the rows (term, doc_id) of an index.
+def search(index: Stored, query: str, compat: bool = False) -> DataFrame:
+    """doc_id of the documents that match, as set algebra over the posting lists of a stored index.
 
-    A leaf is a filter on term that reaches the scan. In a conjunction the rarest term (by df, if given) leads, further terms are
+    A leaf reads its term's row groups. In a conjunction the rarest term leads, further terms are
     semi-joins and negated ones anti-joins, so the universe is read only for a conjunction without a positive part.
     An unknown term matches nothing."""
+    tree, universe = flat(parse(query, compat)), index.universe
     if compat:
         last = universe.agg(F.max("doc_id").alias("last"))
         universe = universe.join(last, F.col("doc_id") < F.col("last")).select("doc_id")
-    df = df or {}
+    df = index.df(*terms(tree))
 
     def leaf(word: str) -> DataFrame:
-        return index.where(F.col("term") == word).select("doc_id")
+        return index.docs(word).select("doc_id")
 
     def weight(n: Node) -> int:
         if isinstance(n, Term):
@@ -145,7 +146,7 @@ def search(index: DataFrame, universe: DataFrame, query: str, df: dict[str, int]
             out = out.join(leaf(p.word), "doc_id", "left_anti")
         return out
 
-    return plan(flat(parse(query, compat))).distinct()
+    return plan(tree).distinct()
 
 
 def matches(w: Column, n: Node) -> Column:
@@ -160,12 +161,38 @@ def matches(w: Column, n: Node) -> Column:
     return out
 
 
-def search_many(docs: DataFrame, queries: list[str]) -> DataFrame:
-    """query, doc_id for many queries in one scan: each document's words are kept to those the queries name and all trees
+def holds(n: Node, have: frozenset[str] = frozenset()) -> bool:
+    """Whether a document with the words `have` matches."""
+    if isinstance(n, Term):
+        return (n.word in have) != n.negated
+    return (all if n.kind == "&" else any)(holds(p, have) for p in n.parts)
+
+
+def search_many(index: Stored, queries: list[str], at_once: int = 64) -> DataFrame:
+    """query, doc_id for many queries: one read of the named terms' posting lists, one shuffle that gives each document its named terms, on
+    which all trees are evaluated. The universe is read only for queries that a document without any named term matches. Queries are taken
+    at_once at a time, as each is an expression of the plan."""
+    out = None
+    asked = list(dict.fromkeys(queries))
+    for k in range(0, len(asked), at_once):
+        part = asked[k : k + at_once]
+        trees = [parse(q) for q in part]
+        rows = index.docs(*sorted(set().union(*map(terms, trees)))).groupBy("doc_id").agg(F.collect_set("term").alias("w"))
+        if any(map(holds, trees)):
+            rows = index.universe.join(rows, "doc_id", "left").select("doc_id", F.coalesce("w", F.array().cast("array<string>")).alias("w"))
+        hits = F.filter(F.array(*[F.when(matches(F.col("w"), t), F.lit(q)) for q, t in zip(part, trees, strict=True)]), lambda q: q.isNotNull())
+        found = rows.select("doc_id", F.explode(hits).alias("query"))
+        out = found if out is None else out.unionAll(found)
+    return out if out is not None else index.universe.select("doc_id", F.lit("").alias("query")).limit(0)
+
+
+def scan_many(docs: DataFrame, queries: list[str]) -> DataFrame:
+    """The same without an index, in one scan of the documents: each document's words are kept to those the queries name and all trees
     are evaluated on them. No shuffle, no join."""
     trees = [parse(q) for q in queries]
     named = sorted(set().union(*map(terms, trees))) if trees else []
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.array_intersect(T.words(F.col("text")), F.lit(named)).alias("w"))
+    words = F.coalesce(T.words(F.col("text")), F.array().cast("array<string>"))
+    rows = docs.where("doc_id is not null").select("doc_id", F.array_intersect(words, F.lit(named)).alias("w"))
     hits = F.filter(F.array(*[F.when(matches(F.col("w"), t), F.lit(q)) for q, t in zip(queries, trees, strict=True)]), lambda q: q.isNotNull())
     return rows.select("doc_id", F.explode(hits).alias("query")).distinct()
 
@@ -174,8 +201,3 @@ def report(hits: DataFrame, queries: list[str]) -> DataFrame:
     """query and n, its number of documents; queries without a match have 0."""
     asked = hits.sparkSession.createDataFrame([(q,) for q in queries], "query string")
     return asked.join(hits.groupBy("query").agg(F.count("*").alias("n")), "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def index_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(index, universe) for search()."""
-    return term_docs(docs), docs.where("doc_id is not null").select("doc_id")

@@ -6,7 +6,9 @@ document ids; a row's size is bounded whatever the corpus. Windows run inside a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +18,36 @@ from textloom.functions.codecs import cumulated
 BLOCK = 1 << 20
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A written index: posting lists sorted by term (term, block, df, docs), and the identifiers of all documents."""
+
+    postings: DataFrame
+    universe: DataFrame
+
+    def docs(self, *terms: str) -> DataFrame:
+        """term, doc_id of the terms. The filter reaches the Parquet scan, whose row groups are in the order of terms."""
+        one = F.col("term") == terms[0] if len(terms) == 1 else F.col("term").isin(*terms)
+        return self.postings.where(one).select("term", F.explode("docs").alias("doc_id"))
+
+    def df(self, *terms: str) -> dict[str, int]:
+        """Document frequency of the terms that are known: a row for each."""
+        rows = self.postings.where(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("df")).collect()
+        return {r.term: r.df for r in rows}
+
+
+def store(docs: DataFrame, path: str) -> Stored:
+    """Writes the index of docs to path, once for all searches."""
+    ordered = postings(docs).repartitionByRange("term").sortWithinPartitions("term", "block")
+    ordered.write.mode("overwrite").parquet(f"{path}/postings")
+    docs.where("doc_id is not null").select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/documents")
+    return opened(docs.sparkSession, path)
+
+
+def opened(spark: SparkSession, path: str) -> Stored:
+    return Stored(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
+
+
 def term_docs(docs: DataFrame) -> DataFrame:
     """Distinct (term, doc_id). Terms are made distinct within the row, so nothing is shuffled; repeated rows of a document repeat."""
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).select("term", "doc_id")

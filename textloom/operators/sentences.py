@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.codecs import cumulated
 
-FEATURES = ("is_excl", "is_quest", "is_dot", "next_upper", "next_space", "prev_word_len", "words_since", "prev_word_upper", "prev_dot", "is_last", "prev_digit", "next_dot")
+FEATURES = ("is_excl", "is_quest", "is_dot", "next_upper", "next_space", "prev_word_len", "words_since", "words_since_end", "prev_word_upper", "prev_dot", "is_last", "prev_digit", "next_dot")
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -42,12 +42,15 @@ def features(docs: DataFrame) -> DataFrame:
     prev = F.when(F.length(body) > 0, F.right(body, F.lit(1))).otherwise(F.col("before"))
     word = F.substring_index(body, " ", -1)
     yes = lambda c: c.cast("int").cast("bigint")
+    n_words = lambda c: F.size(F.filter(F.split(c, " ", -1), lambda x: x != "")).cast("bigint")
     return ends.select(
         "doc_id", "pos",
         yes(ch == "!").alias("is_excl"), yes(ch == "?").alias("is_quest"), yes(ch == ".").alias("is_dot"),
         yes(F.col("nxt").rlike("^\\p{Lu}")).alias("next_upper"), yes(F.col("nxt") == " ").alias("next_space"),
         F.length(word).cast("bigint").alias("prev_word_len"),
-        (F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit("")))).cast("bigint").alias("words_since"),
+        n_words(body).alias("words_since"),
+        # the paragraph's first character isn't looked at where no end character comes before
+        n_words(F.when(F.col("pos") == F.length("piece"), F.substring(body, 2, 1 << 30)).otherwise(body)).alias("words_since_end"),
         yes(word.rlike("^\\p{Lu}")).alias("prev_word_upper"), yes(prev == ".").alias("prev_dot"), yes(F.col("nxt") == "").alias("is_last"),
         yes(prev.rlike("^[0-9]$")).alias("prev_digit"), yes(F.col("nxt") == ".").alias("next_dot"),
     )
@@ -93,9 +96,9 @@ def score(gold: DataFrame, found: DataFrame) -> DataFrame:
     return n.withColumn("accuracy", F.round(F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), 6))
 
 
-def splitter(trees: int = 30, step: float = 0.07, depth: int = 3, seed: int = 1) -> Pipeline:
+def splitter(trees: int = 30, step: float = 0.07, depth: int = 3, seed: int = 1, features: list[str] | tuple = FEATURES) -> Pipeline:
     """Boosted trees over the features; label is 1 where a sentence ends."""
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), GBTClassifier(maxIter=trees, stepSize=step, maxDepth=depth, seed=seed, labelCol="label")])
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), GBTClassifier(maxIter=trees, stepSize=step, maxDepth=depth, seed=seed, labelCol="label")])
 
 
 def rule_ends(feats: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from textloom.functions import text as T
 from textloom.functions.edits import edits
+from textloom.storage import cut
 
 
 def valid(word: Column) -> Column:
@@ -64,6 +65,25 @@ def nearest(words: DataFrame, dictionary: DataFrame, k: int = 2) -> DataFrame:
     return candidates(words, dictionary, k).join(dictionary.select("word", "cnt"), "word").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("q", "word", "dist", "cnt")
 
 
+def nearest_any(words: DataFrame, dictionary: DataFrame, k: int = 2) -> DataFrame:
+    """As nearest(), but over the whole dictionary: a q without a word within k edits is looked for among all words.
+
+    What is left is few: a bound for each comes from its distance to the most frequent word of every length, and it meets only
+    the words whose length can be within the bound, by a join on the length."""
+    near = cut(nearest(words, dictionary, k), "nearest")
+    far = cut(words.select("q").where("q is not null").distinct().join(near, "q", "left_anti"), "far")
+    if far.isEmpty():
+        return near
+    # a first bound: the distance to the most frequent word of each length, one row a length
+    top = dictionary.where("word is not null").groupBy(F.length("word").alias("n")).agg(F.max(F.struct("cnt", "word")).alias("m"))
+    bound = far.join(F.broadcast(top.select("n", "m.word")), F.lit(True)).groupBy("q").agg(F.min(F.levenshtein("q", "word")).alias("bound"))
+    sized = dictionary.where("word is not null").select("word", "cnt", F.length("word").alias("n"))
+    at = bound.withColumn("n", F.explode(F.sequence(F.greatest(F.length("q") - F.col("bound"), F.lit(0)), F.length("q") + F.col("bound"))))
+    found = at.join(sized, "n").withColumn("dist", F.levenshtein("q", "word").cast("bigint")).where(F.col("dist") <= F.col("bound"))
+    best = found.groupBy("q").agg(F.min(F.struct("dist", (-F.col("cnt")).alias("less"), "word")).alias("m")).select("q", "m.word", "m.dist", (-F.col("m.less")).alias("cnt"))
+    return near.unionByName(best)
+
+
 def error_model(pairs: DataFrame) -> DataFrame:
     """op, a, b, cnt, p from pairs (wrong, right): counts of the edits that turn wrong into right, and their share of the operation's."""
     ops = pairs.where("wrong is not null and right is not null").select(F.explode(edits("wrong", "right")).alias("e"))
@@ -79,7 +99,7 @@ def correct(words: DataFrame, dictionary: DataFrame, model: DataFrame, k: int =
     total = dictionary.agg(F.sum("cnt").alias("total"))
     near = candidates(words, dictionary, k).withColumn("script", edits("q", "word"))
     edge = near.select("q", "word", "dist", F.explode_outer("script").alias("e")).select("q", "word", "dist", "e.op", "e.a", "e.b")
-    priced = edge.join(F.broadcast(model.select("op", "a", "b", "p")), ["op", "a", "b"], "left")
+    priced = edge.join(model.select("op", "a", "b", "p"), ["op", "a", "b"], "left")
     cost = F.sum(F.when(F.col("op").isNull(), 0.0).otherwise(F.log(F.coalesce("p", F.lit(unseen)))))
     scored = priced.groupBy("q", "word", "dist").agg(cost.alias("log_edit")).join(dictionary.select("word", "cnt"), "word")
     scored = scored.join(F.broadcast(total), F.lit(True)).withColumn("score", F.col("log_edit") + F.log(F.col("cnt") / F.col("total")))

@@ -14,8 +14,8 @@ from textloom.plans.search import documents
 from textloom.storage import table
 
 CW = "WITH w AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM conversations WHERE text IS NOT NULL), u AS (SELECT unnest(w) AS word FROM w)"
-#: Words of the benchmark, misspelt by leaving out their second character; the dictionary is the conversations' words. Both of ASCII letters,
-#: as the other engine's distance counts bytes.
+#: Words of the benchmark, misspelt by leaving out their second character; the dictionary is the conversations' words. The other engine's distance
+#: counts bytes, so the queries with SQL are about ASCII letters; the others take all words.
 ASKED = """, q AS (SELECT DISTINCT b.word[1:1] || b.word[3:] AS q FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM benchmark) b WHERE regexp_matches(b.word, '^[a-z]{6,12}$')),
 d AS (SELECT word, count(*) AS cnt FROM u WHERE regexp_matches(word, '^[a-z]{4,14}$') GROUP BY word)"""
 
@@ -29,6 +29,16 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("right", F.concat(F.substring("right", 1, 1), F.expr("substring(right, 3)")).alias("q")).distinct()
 
 
+def _misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the benchmark of two letters or more, of any script."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), F.lit(0))).alias("right")).where(F.length("right") > 1)
+    return w.select("right", F.concat(F.substring("right", 1, 1), F.expr("substring(right, 3)")).alias("q")).distinct()
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spell.unigrams(_conversations(spark, sf_dir))
+
+
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spell.unigrams(_conversations(spark, sf_dir)).where(F.col("word").rlike("^[a-z]{4,14}$"))
 
@@ -68,23 +78,33 @@ def word_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("raw", spell.valid(F.col("raw")).alias("word"))
 
 
-@query()
+@query("""WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM benchmark), e AS (SELECT DISTINCT word, word[1:1] || word[3:] AS q FROM r WHERE length(word) > 1),
+s AS (SELECT q, word, unnest(range(0, length(word))) AS i FROM e), p AS (SELECT q, word, max(i) AS i FROM s WHERE q[1:i] || word[i+1:i+1] || q[i+1:] = word GROUP BY q, word)
+SELECT 'add' AS op, word[i+1:i+1] AS a, '' AS b, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 6) AS p FROM p GROUP BY 3""")
 def edit_ops_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _asked(spark, sf_dir).select(F.col("q").alias("wrong"), "right")
+    pairs = _misspelt(spark, sf_dir).select(F.col("q").alias("wrong"), "right")
     return spell.error_model(pairs).withColumn("p", F.round("p", 6))
 
 
 @query()
 def edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _asked(spark, sf_dir).select("q", "right", edits("q", "right").alias("s"))
+    s = _misspelt(spark, sf_dir).select("q", "right", edits("q", "right").alias("s"))
     return s.select("q", "right", F.size("s").cast("bigint").alias("n"), F.array_join(F.transform("s", lambda e: F.concat(e["op"], e["a"], e["b"])), " ").alias("script"))
 
 
 @query()
 def noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _asked(spark, sf_dir)
-    model = spell.error_model(asked.select(F.col("q").alias("wrong"), "right"))
-    return spell.correct(asked.select("q"), _dictionary(spark, sf_dir), model)
+    """Words of half the benchmark's items are corrected with the errors learned from the other half."""
+    half = lambda k: table(spark, sf_dir, "benchmark").where(F.col("item_id") % 2 == k)
+    words = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), F.lit(0))).alias("right")).where(F.length("right") > 1).select("right", F.concat(F.substring("right", 1, 1), F.expr("substring(right, 3)")).alias("q")).distinct()
+    model = spell.error_model(words(half(0)).select(F.col("q").alias("wrong"), "right"))
+    return spell.correct(words(half(1)).select("q").distinct(), _words(spark, sf_dir), model)
+
+
+@query()
+def nearest_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest dictionary word of every misspelt word, however far."""
+    return spell.nearest_any(_misspelt(spark, sf_dir).select("q"), _words(spark, sf_dir))
 
 
 @query("SELECT DISTINCT p_name, translate(lower(p_name), 'qwertyuiop[]asdfghjkl;''zxcvbnm,.', 'йцукенгшщзхъфывапролджэячсмитьбю') AS typed FROM part")
@@ -105,7 +125,8 @@ def sentence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(PIECES + """ SELECT doc_id, pos, (ch = '!')::BIGINT AS is_excl, (ch = '?')::BIGINT AS is_quest, (ch = '.')::BIGINT AS is_dot,
-regexp_matches(nxt, '^\\p{Lu}')::BIGINT AS next_upper, (nxt = ' ')::BIGINT AS next_space, length(word) AS prev_word_len, (length(body) - length(replace(body, ' ', '')))::BIGINT AS words_since,
+regexp_matches(nxt, '^\\p{Lu}')::BIGINT AS next_upper, (nxt = ' ')::BIGINT AS next_space, length(word) AS prev_word_len, len(list_filter(string_split(body, ' '), lambda x: x <> '')) AS words_since,
+len(list_filter(string_split(CASE WHEN pos = length(piece) THEN substr(body, 2) ELSE body END, ' '), lambda x: x <> '')) AS words_since_end,
 regexp_matches(word, '^\\p{Lu}')::BIGINT AS prev_word_upper, (prev = '.')::BIGINT AS prev_dot, (nxt = '')::BIGINT AS is_last, regexp_matches(prev, '^[0-9]$')::BIGINT AS prev_digit, (nxt = '.')::BIGINT AS next_dot FROM c""")
 def sentence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.features(documents(spark, sf_dir))
@@ -121,16 +142,16 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "n", F.length("sentence").cast("bigint").alias("n_chars"), F.md5("sentence").alias("digest"))
 
 
-@query(PIECES + """, m AS (SELECT doc_id, k, ch, lead(ch) OVER (PARTITION BY doc_id ORDER BY k) IS NULL OR nxt IN ('', ' ') AS g FROM c),
-r AS (SELECT g, true AS f FROM m) SELECT count(*) FILTER (g AND f) AS tp, 0::BIGINT AS fn FROM r""")
+@query(PIECES + """, m AS (SELECT lead(ch) OVER (PARTITION BY doc_id ORDER BY k) IS NULL OR nxt IN ('', ' ') AS g, nxt <> '.' AND nxt IN ('', ' ') AS f FROM c)
+SELECT count(*) FILTER (g AND f) AS tp, count(*) FILTER (NOT g AND NOT f) AS tn, count(*) FILTER (NOT g AND f) AS fp, count(*) FILTER (g AND NOT f) AS fn FROM m""")
 def sentence_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of splitting at every candidate: the ends that a rule (before a space, or the last) agrees with, and those it misses."""
+    """The rule's ends (rule_ends) against those at the last end character of a document or before a space."""
     feats = S.features(documents(spark, sf_dir))
     from pyspark.sql import Window as W
 
     last = F.lead("pos").over(W.partitionBy("doc_id").orderBy("pos")).isNull()
-    g = feats.select((last | (F.col("is_last") == 1) | (F.col("next_space") == 1)).alias("g"))
-    return g.agg(F.count_if("g").alias("tp"), F.lit(0).cast("bigint").alias("fn"))
+    marks = feats.select((last | (F.col("is_last") == 1) | (F.col("next_space") == 1)).alias("g"), ((F.col("next_dot") == 0) & ((F.col("is_last") == 1) | (F.col("next_space") == 1))).alias("f"))
+    return marks.agg(F.count_if(F.expr("g and f")).alias("tp"), F.count_if(F.expr("not g and not f")).alias("tn"), F.count_if(F.expr("not g and f")).alias("fp"), F.count_if(F.expr("g and not f")).alias("fn"))
 
 
 @query()
@@ -144,10 +165,12 @@ def sentence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees learn the rule from the features; counts of right answers on a fold held out."""
+    """Boosted trees learn where a sentence ends that a capital letter follows, from features that don't tell what comes next; right answers on a fold held out."""
     from textloom.operators.stats import folds
 
-    rows = S.features(table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))).withColumn("label", ((F.col("next_space") == 1) | (F.col("is_last") == 1)).cast("double"))
+    rows = S.features(table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")))
+    rows = rows.withColumn("label", ((F.col("next_space") == 1) | (F.col("is_last") == 1)).cast("double"))
     fold = folds(F.col("doc_id"), 4)
-    p = S.splitter(10).fit(rows.where(fold != 0)).transform(rows.where(fold == 0))
+    blind = S.splitter(10, features=[c for c in S.FEATURES if c not in ("next_space", "is_last", "next_upper", "next_dot")])
+    p = blind.fit(rows.where(fold != 0)).transform(rows.where(fold == 0))
     return p.agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("prediction")).alias("n_right"))

@@ -9,7 +9,8 @@ from textloom.functions import codecs as C
 from textloom.functions import text as T
 from textloom.operators import boolquery, index, neardup
 from textloom.plans.registry import query
-from textloom.storage import cut, spread, table
+from textloom.streaming.sources import search_stream, table_stream
+from textloom.storage import cut, scratch, spread, table
 
 WORDS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+')"
 CASED, LOWER = WORDS.format("text"), WORDS.format("lower(text)")
@@ -83,26 +84,39 @@ def postings_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("term", F.explode("docs").alias("doc_id"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> index.Stored:
+    """The index of a folder's documents, written to the shared folder when a session first asks for it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        path = scratch(spark, "index")
+        index.store(documents(spark, sf_dir), path)
+        _STORED[at] = path
+    return index.opened(spark, _STORED[at])
+
+
 @query(TERMS + " SELECT doc_id FROM t WHERE term = 'the' INTERSECT SELECT doc_id FROM t WHERE term = 'of'")
 def bool_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolquery.search(*boolquery.index_of(documents(spark, sf_dir)), "the & of")
+    return boolquery.search(stored(spark, sf_dir), "the & of")
 
 
 @query(TERMS + " SELECT doc_id FROM t WHERE term = 'der' UNION (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL EXCEPT SELECT doc_id FROM t WHERE term = 'en')")
 def bool_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolquery.search(*boolquery.index_of(documents(spark, sf_dir)), "der | !en")
+    return boolquery.search(stored(spark, sf_dir), "der | !en")
 
 
 @query(TERMS + """ (SELECT doc_id FROM t WHERE term = 'the' UNION SELECT doc_id FROM t WHERE term = 'la')
 EXCEPT (SELECT doc_id FROM t WHERE term = 'of' INTERSECT SELECT doc_id FROM t WHERE term = 'is')""")
 def bool_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolquery.search(*boolquery.index_of(documents(spark, sf_dir)), "(the | la) & !(of & is)")
+    return boolquery.search(stored(spark, sf_dir), "(the | la) & !(of & is)")
 
 
 BATCH = ["the & of", "der | !en", "(the | la) & !(of & is)", "!the", "nosuchword", "la & !le & en"]
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_distinct({LOWER}) AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+@query(f"""WITH d AS (SELECT doc_id, coalesce(list_distinct({LOWER}), []) AS w FROM documents WHERE doc_id IS NOT NULL),
 q AS (SELECT 'the & of' AS query, doc_id FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'of')
 UNION SELECT 'der | !en', doc_id FROM d WHERE list_contains(w, 'der') OR NOT list_contains(w, 'en')
 UNION SELECT '(the | la) & !(of & is)', doc_id FROM d WHERE (list_contains(w, 'the') OR list_contains(w, 'la')) AND NOT (list_contains(w, 'of') AND list_contains(w, 'is'))
@@ -110,15 +124,25 @@ UNION SELECT '!the', doc_id FROM d WHERE NOT list_contains(w, 'the')
 UNION SELECT 'la & !le & en', doc_id FROM d WHERE list_contains(w, 'la') AND NOT list_contains(w, 'le') AND list_contains(w, 'en'))
 SELECT query, doc_id FROM q""")
 def bool_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolquery.search_many(documents(spark, sf_dir), BATCH)
+    return boolquery.search_many(stored(spark, sf_dir), BATCH)
 
 
-@query(f"""WITH d AS (SELECT list_distinct({LOWER}) AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+@query(f"""WITH d AS (SELECT coalesce(list_distinct({LOWER}), []) AS w FROM documents WHERE doc_id IS NOT NULL)
 SELECT 'the & of' AS query, count(*) FILTER (list_contains(w, 'the') AND list_contains(w, 'of')) AS n FROM d
-UNION ALL SELECT 'nosuchword', 0::BIGINT""")
+UNION ALL SELECT 'nosuchword', count(*) FILTER (list_contains(w, 'nosuchword')) FROM d""")
 def bool_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = ["the & of", "nosuchword"]
-    return boolquery.report(boolquery.search_many(documents(spark, sf_dir), asked), asked)
+    return boolquery.report(boolquery.search_many(stored(spark, sf_dir), asked), asked)
+
+
+@query(f"""WITH d AS (SELECT coalesce(list_distinct({LOWER}), []) AS w FROM documents WHERE doc_id IS NOT NULL)
+SELECT query, (SELECT count(*) FROM d WHERE list_contains(w, a) AND NOT list_contains(w, b)) AS n
+FROM (SELECT DISTINCT w[1] AS a, w[2] AS b, w[1] || ' & !' || w[2] AS query FROM (SELECT {LOWER} AS w FROM benchmark) WHERE len(w) > 1)""")
+def search_stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of queries (the first word of each benchmark item without its second) against the stored index."""
+    w = T.words(F.col("text"))
+    asked = table_stream(spark, sf_dir, "benchmark").where(F.size(w) > 1).select(F.concat(w[0], F.lit(" & !"), w[1]).alias("query"))
+    return search_stream(asked, stored(spark, sf_dir), scratch(spark, "answers")).distinct()
 
 
 def _round_trip(df: DataFrame, encode, decode) -> DataFrame:

@@ -1,12 +1,14 @@
 """Streaming keyed values with expiry: a stateful processor whose state is one value a key, and its runner.
 
-Expiry goes by event time, so a rerun after a loss gives the same answers; the state store drops what is expired with a timer.
+Expiry goes by event time, so a rerun after a loss gives the same answers. A value that is set with a time to live has a timer for its end: when the
+watermark passes it, the value leaves the state store. Values without a time to live (ttl 0) stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,34 +24,51 @@ class Expiring(StatefulProcessor):
     """set keeps (ts, ttl, value); get answers with the value if it is alive at the time of the get."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.kept = handle.getValueState("kept", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        last = self.kept.get() if self.kept.exists() else None
-        out, written = [], False
-        for r in batch.itertuples():
-            if r.op == "set":
-                last, written = (r.ts, int(r.ttl), float(r.value)), True
-            else:
-                alive = last is not None and (last[1] == 0 or r.ts < pd.Timestamp(last[0]) + pd.Timedelta(seconds=last[1]))
-                out.append((r.event_id, key[0], last[2] if alive else None))
-        if written:
-            self.kept.update((pd.Timestamp(last[0]).to_pydatetime(), last[1], last[2]))
-        yield pd.DataFrame({"event_id": [o[0] for o in out], "key": [o[1] for o in out], "answer": pd.Series([o[2] for o in out], dtype="float64")})
+        is_set = (batch["op"] == "set").to_numpy()
+        ts, ttl, value = batch["ts"].to_numpy("datetime64[us]"), batch["ttl"].to_numpy(), batch["value"].to_numpy(float)
+        # the set before each row; -1: what the state has
+        at = np.maximum.accumulate(np.where(is_set, np.arange(len(batch)), -1))
+        old = self.kept.get() if self.kept.exists() else None
+        since, span, seen = ts[at], np.where(is_set, ttl, 0)[at].astype(float), value[at]
+        none = at < 0
+        if old is not None:
+            since[none], span[none], seen[none] = np.datetime64(pd.Timestamp(old[0]), "us"), old[1], old[2]
+        else:
+            seen[none] = np.nan
+        alive = (span == 0) | (ts < since + (span * 1e6).astype("timedelta64[us]"))
+        out = batch[~is_set]
+        yield pd.DataFrame({"event_id": out["event_id"], "key": key[0], "answer": np.where(alive, seen, np.nan)[~is_set]})
+        if at[-1] >= 0:
+            last = at[-1]
+            self.kept.update((pd.Timestamp(ts[last]).to_pydatetime(), int(ttl[last]), float(value[last])))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if ttl[last]:
+                self.handle.registerTimer(int(ts[last].astype("datetime64[ms]").astype(np.int64)) + int(ttl[last]) * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.kept.clear()
+        yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64"), "answer": pd.Series(dtype="float64")})
 
     def close(self) -> None:
         pass
 
 
-def answers(cmds: DataFrame) -> DataFrame:
-    """The streaming twin of operators.kv.answers. Rows of a key are put in order within a micro-batch; batches arrive in order."""
-    return cmds.groupBy("key").transformWithStateInPandas(Expiring(), OUTPUT, "Append", "None")
+def answers(cmds: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The streaming twin of operators.kv.answers. Rows of a key are put in order within a micro-batch; batches may
+    overlap by `late`, rows that come later still are dropped."""
+    return cmds.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Expiring(), OUTPUT, "Append", "EventTime")
 
 
-def run_once(spark: SparkSession, out: DataFrame, timeout_s: int = 600) -> DataFrame:
-    """Runs a streaming result over all that is there now and returns what it wrote to the shared folder."""
-    path = scratch(spark, "stream")
+def run_once(spark: SparkSession, out: DataFrame, timeout_s: int = 600, path: str | None = None) -> DataFrame:
+    """Runs a streaming result over all that is there now and returns what it wrote to the shared folder (to path, where it goes on from
+    an earlier run; its state is in path-checkpoint)."""
+    path = path or scratch(spark, "stream")
     query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-checkpoint").outputMode("append").trigger(availableNow=True).start()
     try:
         if not query.awaitTermination(timeout_s):

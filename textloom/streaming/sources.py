@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators import boolquery
+from textloom.operators.index import Stored
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1000) -> DataFrame:
     """A table's files as a stream; the schema is read from the table."""
@@ -18,10 +21,49 @@ def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     return spark.readStream.format("socket").option("host", host).option("port", port).option("includeTimestamp", "true").load().withColumnRenamed("value", "line")
 
 
-def search_stream(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """query, n, of a stream of one-term queries against a static index (term, doc_id): a stream-static join on the term."""
-    counts = index.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-    return asked.join(counts, F.lower(F.trim("query")) == F.col("term"), "left").select("query", F.coalesce("df", F.lit(0)).alias("n"))
+def search_stream(asked: DataFrame, index: Stored, path: str, timeout_s: int = 600) -> DataFrame:
+    """query, n of a stream of boolean queries (column query) against a stored index, over all that is there now.
+
+    A micro-batch's queries are parsed on the driver (there are as many as the source's limit lets into a batch) and answered together. An answer's
+    folder is named by its batch, so a batch that runs again after a loss overwrites its own. A query that isn't well formed has a null n."""
+    spark = asked.sparkSession
+
+    def answer(batch: DataFrame, number: int) -> None:
+        queries = sorted(r.query for r in batch.where("query is not null").select("query").distinct().collect())
+        good, bad = [], []
+        for q in queries:
+            try:
+                boolquery.parse(q)
+                good.append(q)
+            except ValueError:
+                bad.append(q)
+        out = boolquery.report(boolquery.search_many(index, good), good)
+        if bad:
+            out = out.unionAll(spark.createDataFrame([(q, None) for q in bad], "query string, n bigint"))
+        out.write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
+
+    spark.createDataFrame([], "query string, n bigint").write.mode("overwrite").parquet(f"{path}/answers/batch=-1")
+    stream = asked.writeStream.foreachBatch(answer).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    try:
+        if not stream.awaitTermination(timeout_s):
+            raise TimeoutError(f"the stream didn't end within {timeout_s} s")
+    finally:
+        stream.stop()
+    return spark.read.parquet(f"{path}/answers").select("query", "n")
+
+
+def socket_sink(host: str, port: int):
+    """A foreachBatch function that sends the column line of each row to a TCP server, a line each, partition by partition from the executors."""
+
+    def send(rows) -> None:
+        import socket
+
+        lines = [r.line for r in rows if r.line is not None]
+        if lines:
+            with socket.create_connection((host, port), timeout=30) as out:
+                out.sendall("".join(x + "\n" for x in lines).encode())
+
+    return lambda batch, number: batch.select("line").foreachPartition(send)
 
 
 def broadcast_lines(messages: DataFrame, deliver, checkpoint: str):
