@@ -12,7 +12,7 @@ __all__ = ["BROADCAST_BYTES", "BROADCAST_IDS", "cut", "join_ids", "private", "re
 #: An id set is broadcast up to this many ids (about 40 MB as a hash relation) and shuffled beyond it.
 BROADCAST_IDS = 500_000
 #: The same for tables whose rows differ in size.
-BROADCAST_BYTES = 40 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def join_ids(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
