@@ -131,3 +131,59 @@ def test_random_pairs_agree_with_levenshtein(spark):
     pairs = [("".join(rng.choices("abcd", k=rng.randint(0, 8))), "".join(rng.choices("abcd", k=rng.randint(0, 8)))) for _ in range(60)]
     df = spark.createDataFrame(pairs, "a string, b string")
     assert all(len(edit_script(r.a, r.b)) == r.d for r in df.select("a", "b", F.levenshtein("a", "b").alias("d")).collect())
+
+
+def test_codecs_of_many_lists(spark):
+    rng = random.Random(3)
+    lists = [None, [], [0], [1 << 27], [rng.randrange(1 << rng.randrange(1, 28)) for _ in range(300)], [1] * 90, [5, 1 << 20] * 40]
+    d = spark.createDataFrame([(k, v) for k, v in enumerate(lists)], "k int, v array<bigint>").coalesce(1)
+    out = d.select("v", C.varbyte_encode("v").alias("a"), C.simple9_encode("v").alias("b"))
+    for r in out.select("*", C.varbyte_decode("a").alias("va"), C.simple9_decode("b").alias("vb")).collect():
+        assert r.va == r.v and r.vb == r.v
+        if r.v is not None:
+            assert bytes(r.a) == C.varbyte(r.v) and bytes(r.b) == C.simple9(r.v)
+
+
+def test_murmur_of_many(spark):
+    texts = [b"", b"a", b"ab", b"abc", b"abcd", b"hello, world", "ÀÉñ€".encode(), b"x" * 1001]
+    assert C.murmur3_many(texts, 7).tolist() == [C.murmur3_32(t, 7) for t in texts]
+    got = spark.createDataFrame([("abc",), (None,), ("",)], "t string").select("t", C.murmur3("t").alias("h")).collect()
+    assert {r.t: r.h for r in got} == {"abc": C.murmur3_32(b"abc"), None: None, "": 0}
+
+
+def test_common_prefix_and_scaling(spark):
+    d = spark.createDataFrame([("abcd", "abxd"), ("", "a"), ("same", "same"), ("é1", "é2"), (None, "a"), ("ab", "abc")], "a string, b string")
+    assert [r[0] for r in d.select(T.common_prefix(F.col("a"), F.col("b"))).collect()] == [2, 0, 4, 1, None, 2]
+    assert spark.sql("SELECT array(0, 51, 255) AS v").select(T.scaled(F.col("v"))).first()[0] == [0.0, 0.2, 1.0]
+
+
+def test_costs_and_sign():
+    from textloom.operators.neural import Net
+
+    x, y = np.array([[1.0, -2.0]]), np.array([[0.5]])
+    for kind, want in (("l1", np.sign), ("l2", lambda w: w)):
+        net = Net([2, 1], rate=0.1, decay=0.3, decay_kind=kind, seed=2)
+        w = net.w[0].copy()
+        error = net.layers(x)[-1] - y
+        net.step(x, y)
+        g = np.hstack([x, np.ones((1, 1))]).T @ error
+        g[:-1] += 0.3 * want(w[:-1])
+        assert np.allclose(net.w[0], w - 0.1 * g)
+
+
+def test_table_functions_give_the_builders_rows(spark):
+    from textloom.functions import tables
+    from textloom.functions import urls as U
+    from textloom.operators import neardup, sentences
+
+    tables.register(spark)
+    urls = ["http://a.org/x/12/a1b/p.html?page=2&q=&page=3;z=1#f", "https://m.b.de/", "http://c.fr/%C3%A9t%C3%A9/y%2Fz.tar.gz?a=b%20c", "nonsense", "http://d.org?x=1"]
+    for u in urls:
+        want = sorted(r[0] for r in spark.createDataFrame([(u,)], "url string").select(F.explode(U.features(F.col("url")))).collect())
+        assert sorted(r[0] for r in spark.sql("SELECT * FROM url_features(:u)", {"u": u}).collect()) == want
+    text = "One. Two words! Is it 3.5? Yes... And A.B. Cé"
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    want = sorted(tuple(r) for r in sentences.features(d).select("pos", *tables.FEATURES).collect())
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM sentence_candidates(:t)", {"t": text}).collect()) == want and len(want) == 9
+    want = [r.h for r in neardup.shingles(d, 3, False).collect()]
+    assert [r.h for r in spark.sql("SELECT * FROM shingles(:t, 3)", {"t": text}).orderBy("pos").collect()] == want

@@ -15,16 +15,21 @@ SIMPLE9 = ((28, 1), (14, 2), (9, 3), (7, 4), (5, 5), (4, 7), (3, 9), (2, 14), (1
 
 def varbyte(values) -> bytes:
     """7 bits a byte, most significant first; the high bit marks a number's last byte."""
-    out = bytearray()
-    for v in values:
-        v = int(v)
-        if v < 0:
-            raise ValueError("varbyte needs numbers of 0 or more")
-        part = [v & 127 | 128]
-        while v := v >> 7:
-            part.append(v & 127)
-        out += bytes(reversed(part))
-    return bytes(out)
+    return varbytes(np.asarray(values, np.int64))[0].tobytes()
+
+
+def varbytes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, length of each number's code) of many numbers at once."""
+    if len(v) and v.min() < 0:
+        raise ValueError("varbyte needs numbers of 0 or more")
+    size = np.ones(len(v), np.int64)
+    for k in range(1, 9):
+        size += v >= np.int64(1) << (7 * k)
+    ends = np.cumsum(size)
+    back = np.repeat(ends, size) - 1 - np.arange(ends[-1] if len(ends) else 0)  # how many bytes of the number come after
+    out = ((np.repeat(v, size) >> (7 * back)) & 127).astype(np.uint8)
+    out[back == 0] |= 128
+    return out, size
 
 
 def from_varbyte(data: bytes) -> np.ndarray:
@@ -42,17 +47,42 @@ def simple9(values) -> bytes:
 
     The last word is filled up with zeros, so the number of values goes before it as one word."""
     v = np.asarray(values, np.int64)
+    return simple9_lists(v, np.array([0, len(v)]))[0].tobytes()
+
+
+def simple9_lists(v: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, their number in each list) of many lists at once; list k is v[ends[k]:ends[k + 1]].
+
+    The selector that would be taken at each number, were it the first of a word, comes from how far numbers that fit go on; then all lists take
+    a word at a time together."""
     if len(v) and (v.min() < 0 or v.max() >= 1 << 28):
         raise ValueError("simple9 needs numbers of 0 to 2^28 - 1")
-    words, at = [len(v)], 0
-    while at < len(v):
-        for sel, (n, bits) in enumerate(SIMPLE9):
-            part = v[at : at + n]
-            if (part < 1 << bits).all() and (len(part) == n or sel == len(SIMPLE9) - 1 or at + n >= len(v)):
-                words.append(sel << 28 | int(sum(int(x) << (bits * k) for k, x in enumerate(part))))
-                at += len(part)
+    at, last = np.arange(len(v)), np.repeat(ends[1:], np.diff(ends))
+    choice = np.full(len(v), len(SIMPLE9) - 1)
+    for sel in range(len(SIMPLE9) - 2, -1, -1):
+        n, bits = SIMPLE9[sel]
+        wide = np.flatnonzero(v >= 1 << bits)
+        to = np.append(wide, len(v))[np.searchsorted(wide, at)]  # the first that doesn't fit
+        choice[to >= np.minimum(at + n, last)] = sel
+    count, size = np.array([n for n, _ in SIMPLE9]), np.array([b for _, b in SIMPLE9])
+    here, owner, words, rank = ends[:-1].copy(), [], [], []
+    todo, turn = np.flatnonzero(np.diff(ends) > 0), 0
+    while len(todo):
+        sel = choice[here[todo]]
+        word = sel.astype(np.int64) << 28
+        for k in range(28):
+            more = (k < count[sel]) & (here[todo] + k < ends[todo + 1])
+            if not more.any():
                 break
-    return np.array(words, "<u4").tobytes()
+            word[more] |= v[here[todo][more] + k] << (size[sel[more]] * k)
+        owner.append(todo)
+        words.append(word)
+        rank.append(np.full(len(todo), turn))
+        here[todo] += count[sel]
+        todo, turn = todo[here[todo] < ends[todo + 1]], turn + 1
+    n = np.diff(ends)
+    owner, words, rank = (np.concatenate([x, *y]) for x, y in ((np.arange(len(n)), owner), (n, words), (np.full(len(n), -1), rank)))
+    return words[np.lexsort((rank, owner))].astype("<u4"), np.bincount(owner, minlength=len(n))
 
 
 def from_simple9(data: bytes) -> np.ndarray:
@@ -67,12 +97,28 @@ def from_simple9(data: bytes) -> np.ndarray:
 
 
 def _null(f):
-    return lambda x: None if x is None else f(x)
+    return lambda x: None if x is None or x is pd.NA or isinstance(x, float) else f(x)
+
+
+def _flat(values: pd.Series) -> tuple[pd.Series, np.ndarray, np.ndarray]:
+    """(lists that aren't null, their numbers in one array, where each list's begin and end)."""
+    have = values[values.notna()]
+    return have, np.concatenate([np.asarray(x, np.int64) for x in have]) if len(have) else np.zeros(0, np.int64), np.cumsum([0, *map(len, have)])
+
+
+def _parts(data: np.ndarray, ends: np.ndarray, have: pd.Series, like: pd.Series) -> pd.Series:
+    raw = data.tobytes()
+    step = data.itemsize
+    out = pd.Series([None] * len(like), index=like.index, dtype=object)
+    out[have.index] = [raw[a * step : b * step] for a, b in zip(ends, ends[1:], strict=False)]
+    return out
 
 
 @F.pandas_udf(T.BinaryType())
 def varbyte_encode(values: pd.Series) -> pd.Series:
-    return values.map(_null(varbyte))
+    have, v, ends = _flat(values)
+    data, size = varbytes(v)
+    return _parts(data, np.concatenate([[0], np.cumsum(size)])[ends], have, values)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -82,7 +128,9 @@ def varbyte_decode(data: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def simple9_encode(values: pd.Series) -> pd.Series:
-    return values.map(_null(simple9))
+    have, v, ends = _flat(values)
+    words, n = simple9_lists(v, ends)
+    return _parts(words, np.concatenate([[0], np.cumsum(n)]), have, values)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -117,9 +165,37 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h - (h >> 31 << 32)
 
 
+def murmur3_many(texts: list[bytes], seed: int = 0) -> np.ndarray:
+    """murmur3_32 of many strings, four bytes of all of them at a time."""
+    n = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(n) - n
+    data = np.frombuffer(b"".join(texts) + bytes(4), np.uint8).astype(np.uint32)
+    u, h = np.uint32, np.full(len(texts), seed, np.uint32)
+
+    def turned(x: np.ndarray, r: int) -> np.ndarray:
+        return x << u(r) | x >> u(32 - r)
+
+    def scramble(k: np.ndarray) -> np.ndarray:
+        return turned(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+
+    def four(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return sum((data[np.minimum(at + k, len(data) - 1)] * (k < size) << u(8 * k) for k in range(4)), np.zeros(len(at), np.uint32))
+
+    for step in range(int(n.max()) // 4 if len(n) else 0):
+        k = np.flatnonzero(n >= 4 * step + 4)
+        h[k] = turned(h[k] ^ scramble(four(begin[k] + 4 * step, np.full(len(k), 4))), 13) * u(5) + u(0xE6546B64)
+    k = np.flatnonzero(n % 4)
+    h[k] ^= scramble(four(begin[k] + n[k] // 4 * 4, n[k] % 4))
+    h ^= n.astype(np.uint32)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return (h ^ h >> u(16)).view(np.int32)
+
+
 @F.pandas_udf(T.IntegerType())
 def murmur3(text: pd.Series) -> pd.Series:
-    return text.map(_null(lambda t: murmur3_32(t.encode("utf-8")))).astype("Int32")
+    have = text[text.notna()]
+    return pd.Series(murmur3_many([t.encode("utf-8") for t in have]), index=have.index).astype("Int32").reindex(text.index)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

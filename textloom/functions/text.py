@@ -92,3 +92,15 @@ def sigmoid(x: Column, clip: float = 0.0) -> Column:
 
 def logistic_cost(p: Column, y: Column) -> Column:
     return -(y * F.log(p) + (1 - y) * F.log(1 - p))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Number of characters that two strings have in common from the beginning; null if either is null."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & (F.left(a, k) == F.left(b, k))))
+    return F.when(a.isNotNull() & b.isNotNull(), same).cast("bigint")
+
+
+def scaled(values: Column, by: float = 255.0) -> Column:
+    """An array's numbers divided by a constant."""
+    return F.transform(values, lambda x: x / F.lit(by))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.storage import cut
+
 
 def inverted(pairs: DataFrame, key: str, value: str, out_key: str, out_list: str) -> DataFrame:
     """out_key (each value) with the ascending distinct keys it occurs with."""
@@ -20,8 +22,9 @@ def reinverted(lists: DataFrame, key: str, values: str, out_key: str, out_list:
 def ranked(df: DataFrame, *order: str) -> DataFrame:
     """df with rank, its row's place (from 1) in the total order of all columns named.
 
-    The rows are range-partitioned, counted by partition, and numbered within it: no task sees all rows."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    The rows are range-partitioned, written, counted by partition, and numbered within it: no task sees all rows. They are written since the bounds of
+    the ranges come from a sample: what is counted must be what is numbered."""
+    parts = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
     numbered = parts.withColumn("_at", F.row_number().over(W.partitionBy("_p").orderBy(*order)))

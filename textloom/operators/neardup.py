@@ -1,8 +1,9 @@
 """Near-duplicate pairs by min-hash sketches of word shingles.
 
 Minima are aggregated before they are shuffled, so a document sends as many numbers as its sketch has. Documents with equal sketches are
-collapsed before the self-join on sketch hashes and expanded after it, so that a thousand copies are joined as one row. A null or
-short text has no sketch, nor has a null doc_id.
+one class, named by its smallest doc_id; the classes are joined, and each other document is paired with its class, so that a thousand copies are a thousand
+rows and not a million. Classes meet on the rarest hashes of their sketches only (prefix filtering: two sets above a Jaccard similarity share one of the first
+few in any common order), so what very many documents have in common makes no pairs. A null or short text has no sketch, nor has a null doc_id.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.storage import cut
 
 SHINGLE, SKETCH, JACCARD = 5, 20, 0.75
 
@@ -43,25 +45,25 @@ def sketch(docs: DataFrame, n: int = SKETCH, k: int = SHINGLE, drop_last: bool =
 
 
 def pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = SKETCH, k: int = SHINGLE, drop_last: bool = True) -> DataFrame:
-    """doc_a < doc_b, shared, pct of all pairs whose sketches' Jaccard is above the limit."""
-    sets = sketch(docs, n, k, drop_last).groupBy("sig").agg(F.array_sort(F.collect_set("doc_id")).alias("members"))
-    sets = sets.select(F.col("members")[0].alias("rep"), F.size("sig").alias("size"), "sig", "members")
-    long = sets.select("rep", "size", F.explode("sig").alias("h"))
-    left, right = long.withColumnsRenamed({"rep": "ra", "size": "na"}), long.withColumnsRenamed({"rep": "rb", "size": "nb"})
-    common = left.join(right, "h").where("ra < rb").groupBy("ra", "rb", "na", "nb").agg(F.count("*").alias("shared"))
-    # k / (na + nb - k) > j without division
-    near = common.where(F.col("shared") > F.lit(float(jaccard)) * (F.col("na") + F.col("nb") - F.col("shared")))
-    members = sets.select("rep", "members")
-    cross = (
-        near.join(members.withColumnsRenamed({"rep": "ra", "members": "ma"}), "ra").join(members.withColumnsRenamed({"rep": "rb", "members": "mb"}), "rb")
-        .withColumn("x", F.explode("ma")).withColumn("y", F.explode("mb"))
-        .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("either"))
-    )
-    same = (
-        sets.where(F.size("members") > 1).withColumn("doc_a", F.explode("members")).withColumn("doc_b", F.explode("members")).where("doc_a < doc_b")
-        .select("doc_a", "doc_b", F.col("size").cast("bigint").alias("shared"), F.col("size").cast("bigint").alias("either"))
-    )
-    return cross.unionAll(same).select("doc_a", "doc_b", "shared", F.round(100 * F.col("shared") / F.col("either")).cast("bigint").alias("pct"))
+    """doc_a < doc_b, shared, pct: all pairs of classes (of documents with equal sketches) whose Jaccard is above the limit, by their smallest
+    doc_id, and each class's smallest doc_id with each of its other documents."""
+    sketches = cut(sketch(docs, n, k, drop_last), "sketches")
+    sets = cut(sketches.groupBy("sig").agg(F.min("doc_id").alias("rep")), "sets")
+    members = sketches.join(sets, "sig").where("doc_id <> rep").distinct()
+    same = members.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.size("sig").cast("bigint").alias("shared"), F.lit(100).cast("bigint").alias("pct"))
+    long = sets.select("rep", F.size("sig").alias("size"), F.explode("sig").alias("h"))
+    rare = long.join(long.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("by"))
+    first = F.slice("by", F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(float(jaccard))).cast("int") + 1)
+    heads = cut(rare.select("rep", "size", F.explode(first).alias("b")).select("rep", "size", "b.h"), "heads")
+    left, right = heads.withColumnsRenamed({"rep": "ra", "size": "na"}), heads.withColumnsRenamed({"rep": "rb", "size": "nb"})
+    fits = (F.col("nb") >= F.col("na") * F.lit(float(jaccard))) & (F.col("na") >= F.col("nb") * F.lit(float(jaccard)))
+    met = left.join(right, "h").where("ra < rb").where(fits).select("ra", "rb").distinct()
+    both = met.join(sets.withColumnsRenamed({"rep": "ra", "sig": "sa"}), "ra").join(sets.withColumnsRenamed({"rep": "rb", "sig": "sb"}), "rb")
+    both = both.select("ra", "rb", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("shared"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+    # shared / (na + nb - shared) > jaccard without division
+    near = both.where(F.col("shared") > F.lit(float(jaccard)) * (F.col("na") + F.col("nb") - F.col("shared")))
+    pct = F.round(100 * F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).cast("bigint")
+    return near.select(F.col("ra").alias("doc_a"), F.col("rb").alias("doc_b"), "shared", pct.alias("pct")).unionAll(same)
 
 
 def shingle_stats(docs: DataFrame, k: int = SHINGLE) -> DataFrame:

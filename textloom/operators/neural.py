@@ -1,13 +1,15 @@
 """Small networks in numpy: multi-layer perceptron, sparse and denoising autoencoders, restricted Boltzmann machines.
 
-Training data are a bounded sample (SAMPLE rows in hash order, a parameter); the trained network is a few matrices, and it is applied
-to all rows by Arrow batches on the executors. Rows with a null vector are left out.
+A classifier is fitted on a bounded sample of labelled rows (SAMPLE rows in hash order, a parameter). What has no labels is trained on all rows, where
+they are: in each round every task goes through its rows in mini-batches from the common weights, and the tasks' weights are averaged by
+their rows (averaged() below). The trained network is a few matrices, and it is applied
+to all rows by Arrow batches on the executors. Rows with a null vector are left out; a table without any gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -85,6 +87,25 @@ class Net:
                 g[:-1] += self.decay * (np.sign(self.w[k][:-1]) if self.decay_kind == "l1" else self.w[k][:-1])
             self.w[k] = self.w[k] - self.rate * g
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in self.w])
+
+    def with_flat(self, v: np.ndarray) -> Net:
+        at = np.cumsum([0, *[w.size for w in self.w]])
+        return replace(self, w=[v[a:b].reshape(w.shape) for a, b, w in zip(at, at[1:], self.w, strict=False)])
+
+    def copy(self) -> Net:
+        return self.with_flat(self.flat())
+
+    def train(self, x: np.ndarray, turn: int, batch: int = 32, epochs: int = 3) -> Net:
+        """An autoencoder's passes over the rows of one Arrow batch."""
+        self.rng = np.random.default_rng((self.seed, turn))
+        for _ in range(epochs):
+            order = self.rng.permutation(len(x))
+            for k in range(0, len(x), batch):
+                self.step(x[order[k : k + batch]], x[order[k : k + batch]])
+        return self
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 50, batch: int = 32, patience: int = 9) -> list[float]:
         """Mini-batch descent; error on the last tenth after each epoch, stopping when it is not below that of `patience` epochs before."""
         n = max(1, len(x) * 9 // 10)
@@ -106,9 +127,16 @@ class Rbm:
 
     n_hidden: int
     visible: str = "gaussian"
-    rate: float = 0.01
+    rate: float = 0.05
     momentum: float = 0.5
     seed: int = 1
+    below: list[Rbm] = field(default_factory=list)  # trained layers that the rows go through first
+    w: np.ndarray | None = None
+    v: np.ndarray | None = None
+    h: np.ndarray | None = None
+
+    def prepared(self, width: int) -> Rbm:
+        return replace(self, w=np.random.default_rng(self.seed).normal(0, 0.01, (width, self.n_hidden)), v=np.zeros(width), h=np.zeros(self.n_hidden))
 
     def up(self, v: np.ndarray) -> np.ndarray:
         return sigmoid(v @ self.w + self.h)
@@ -117,12 +145,22 @@ class Rbm:
         x = h @ self.w.T + self.v
         return sigmoid(x) if self.visible == "bernoulli" else x
 
-    def fit(self, x: np.ndarray, epochs: int = 20, batch: int = 32) -> list[float]:
-        """Trains; returns the reconstruction error after each epoch."""
-        rng = np.random.default_rng(self.seed)
-        self.w, self.v, self.h = rng.normal(0, 0.01, (x.shape[1], self.n_hidden)), np.zeros(x.shape[1]), np.zeros(self.n_hidden)
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.w.ravel(), self.v, self.h])
+
+    def with_flat(self, a: np.ndarray) -> Rbm:
+        n = self.w.size
+        return replace(self, w=a[:n].reshape(self.w.shape), v=a[n : n + len(self.v)], h=a[n + len(self.v) :])
+
+    def copy(self) -> Rbm:
+        return self.with_flat(self.flat())
+
+    def train(self, x: np.ndarray, turn: int, batch: int = 32, epochs: int = 3) -> Rbm:
+        """Passes over the rows of one Arrow batch."""
+        for r in self.below:
+            x = r.up(x)
+        rng = np.random.default_rng((self.seed, turn))
         m = [np.zeros_like(self.w), np.zeros_like(self.v), np.zeros_like(self.h)]
-        curve = []
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for k in range(0, len(x), batch):
@@ -134,23 +172,60 @@ class Rbm:
                 for i, g in enumerate(grads):
                     m[i] = self.momentum * m[i] + self.rate * g
                 self.w, self.v, self.h = self.w + m[0], self.v + m[1], self.h + m[2]
-            curve.append(float(np.mean((x - self.down(self.up(x))) ** 2)))
-        return curve
+        return self
+
+    def error(self, x: np.ndarray) -> float:
+        return float(np.mean((x - self.down(self.up(x))) ** 2))
 
 
-def stacked(x: np.ndarray, sizes: list[int], seed: int = 1, tune: int = 20) -> Net:
+#: Rounds of averaging, and how many parts the tasks' weights are averaged in before they meet.
+ROUNDS, MEET = 6, 16
+
+
+def averaged(rows: DataFrame, array: str, start, rounds: int = ROUNDS):
+    """A network trained on all rows: start is a network with flat() and train(x, round), which returns the network after a pass over x.
+
+    A round is one job over the rows: tasks train copies, batch by batch of the Arrow stream, so no task holds its rows; the copies' weights, weighted by rows, are
+    averaged in MEET groups by Spark and then here, so the driver sees MEET sets of weights, however many tasks there are."""
+    net = start
+    for k in range(rounds):
+
+        def work(batches: Iterator[pd.DataFrame], net=net, k=k) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            own, n = net.copy(), 0
+            for b in batches:
+                if len(b):
+                    own = own.train(matrix(b[array]), k)
+                    n += len(b)
+            if n:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId() % MEET], "n": [float(n)], "w": [own.flat() * n]})
+
+        def mean(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"part": part["part"][:1], "n": [part["n"].sum()], "w": [np.sum(np.stack(part["w"].to_list()), axis=0)]})
+
+        kind = "part int, n double, w array<double>"
+        got = rows.select(array).mapInPandas(work, kind).groupBy("part").applyInPandas(mean, kind).toPandas().sort_values("part")
+        if got.empty:
+            return net
+        net = net.with_flat(np.sum(np.stack(got["w"].to_list()), axis=0) / got["n"].sum())
+    return net
+
+
+def stacked(rows: DataFrame, array: str, width: int, sizes: list[int], seed: int = 1, rounds: int = ROUNDS) -> Net:
     """Layer-wise pre-training by Boltzmann machines, unrolled into an autoencoder and fine-tuned. sizes: the code's layers, input left out."""
-    layers, data = [], x
+    layers: list[Rbm] = []
     for k, n in enumerate(sizes):
-        r = Rbm(n, "gaussian" if k == 0 else "bernoulli", seed=seed + k)
-        r.fit(data)
-        layers.append(r)
-        data = r.up(data)
+        start = Rbm(n, "gaussian" if k == 0 else "bernoulli", seed=seed + k, below=list(layers)).prepared(sizes[k - 1] if k else width)
+        layers.append(averaged(rows, array, start, rounds))
     w = [np.vstack([r.w, r.h]) for r in layers] + [np.vstack([r.w.T, r.v]) for r in reversed(layers)]
-    width = [x.shape[1], *sizes, *sizes[-2::-1], x.shape[1]]
-    net = Net(width, "sigmoid", "identity", seed=seed, w=w)
-    net.fit(x, x, tune)
-    return net
+    net = Net([width, *sizes, *sizes[-2::-1], width], "sigmoid", "identity", seed=seed, w=w)
+    return averaged(rows, array, net, rounds)
+
+
+def vector_width(df: DataFrame, array: str) -> int:
+    row = df.where(F.col(array).isNotNull()).select(F.size(array)).first()
+    return row[0] if row else 0
 
 
 def applied(df: DataFrame, key: str, array: str, f: Callable[[np.ndarray], np.ndarray], name: str = "code") -> DataFrame:
@@ -177,29 +252,26 @@ def mlp_labels(df: DataFrame, key: str, array: str, label: str, hidden: int = 32
     return scored.join(df.select(key, label), key).select(key, label, F.get(F.lit([int(c) for c in classes]), best.cast("int")).cast("int").alias("predicted"))
 
 
-def autoencoder_codes(df: DataFrame, key: str, array: str, code: int = 8, noise: float = 0.05, sparsity: float = 0.0, epochs: int = 60) -> DataFrame:
-    """key, code, error: the code layer of a (denoising, or sparse) autoencoder and the squared error of reconstruction."""
-    x = matrix(sample(df, key, array)[array])
-    net = Net([x.shape[1], code, x.shape[1]], "tanh", "identity", rate=0.1, noise=noise, sparsity=sparsity)
-    net.fit(x, x, epochs)
+def autoencoder_codes(df: DataFrame, key: str, array: str, code: int = 8, noise: float = 0.05, sparsity: float = 0.0, hidden: tuple[int, ...] = (), rounds: int = ROUNDS) -> DataFrame:
+    """key, code, error: the code layer of a (denoising, or sparse) autoencoder and the squared error of reconstruction. hidden: layers
+    between input and code, mirrored behind it."""
+    rows, width = df.where(F.col(array).isNotNull()), vector_width(df, array)
+    net = averaged(rows, array, Net([width, *hidden, code, *hidden[::-1], width], "tanh", "identity", rate=0.1, noise=noise, sparsity=sparsity), rounds)
 
     def both(m: np.ndarray) -> np.ndarray:
         a = net.layers(m)
-        return np.hstack([a[1], ((m - a[-1]) ** 2).mean(1, keepdims=True)])
+        return np.hstack([a[len(hidden) + 1], ((m - a[-1]) ** 2).mean(1, keepdims=True)])
 
     return applied(df, key, array, both).select(key, F.slice("code", 1, code).alias("code"), F.round(F.col("code")[code], 6).alias("error"))
 
 
-def rbm_codes(df: DataFrame, key: str, array: str, code: int = 16) -> DataFrame:
+def rbm_codes(df: DataFrame, key: str, array: str, code: int = 16, rounds: int = ROUNDS) -> DataFrame:
     """key and the hidden probabilities of a Boltzmann machine."""
-    x = matrix(sample(df, key, array)[array])
-    r = Rbm(code)
-    r.fit(x)
+    r = averaged(df.where(F.col(array).isNotNull()), array, Rbm(code).prepared(vector_width(df, array)), rounds)
     return applied(df, key, array, r.up)
 
 
-def stacked_codes(df: DataFrame, key: str, array: str, sizes: tuple[int, ...] = (32, 8)) -> DataFrame:
+def stacked_codes(df: DataFrame, key: str, array: str, sizes: tuple[int, ...] = (32, 8), rounds: int = ROUNDS) -> DataFrame:
     """key and the code of an autoencoder pre-trained layer by layer."""
-    x = matrix(sample(df, key, array)[array])
-    net = stacked(x, list(sizes))
+    net = stacked(df.where(F.col(array).isNotNull()), array, vector_width(df, array), list(sizes), rounds=rounds)
     return applied(df, key, array, lambda m: net.layers(m)[len(sizes)])

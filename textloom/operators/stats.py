@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,6 +50,38 @@ def cfs(df: DataFrame, target: str, columns: list[str], most: int | None = None)
     return df.sparkSession.createDataFrame([(k + 1, f, round(m, 6)) for k, (f, m) in enumerate(got)], "place bigint, feature string, merit double")
 
 
+def cfs_array(df: DataFrame, array: str, target: str, most: int | None = None) -> DataFrame:
+    """place, feature (index), merit of correlation-based selection over all elements of an array column.
+
+    One pass: every task adds up the products of its rows (a matrix of the array's width), and the sums of the tasks are added in Spark."""
+    import numpy as np
+
+    def products(batches):
+        n, total = 0, None
+        for b in batches:
+            if len(b):
+                v = np.column_stack([np.stack(b[array].to_list()).astype(float), b[target].to_numpy(float), np.ones(len(b))])
+                total, n = v.T @ v if total is None else total + v.T @ v, n + len(b)
+        if n:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+
+    rows = df.where(F.col(array).isNotNull() & F.col(target).isNotNull()).select(array, target)
+    sums = rows.mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    if sums.empty:
+        return df.sparkSession.createDataFrame([], "place bigint, feature bigint, merit double")
+    k = int(sums.i.max())
+    m = np.zeros((k + 1, k + 1))
+    m[sums.i, sums.j] = sums.s
+    n, mean = m[k, k], m[k, :k] / m[k, k]
+    cov = m[:k, :k] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    r = np.divide(cov, np.outer(sd, sd), out=np.zeros_like(cov), where=np.outer(sd, sd) > 1e-12)
+    name = [f"{f:06d}" for f in range(k)]
+    got = greedy_merit({name[f]: float(r[f, k - 1]) for f in range(k - 1)}, {(name[a], name[b]): float(r[a, b]) for a in range(k - 1) for b in range(a + 1, k - 1)}, most)
+    return df.sparkSession.createDataFrame([(p + 1, int(f), round(v, 6)) for p, (f, v) in enumerate(got)], "place bigint, feature bigint, merit double")
+
+
 def standardised(df: DataFrame, key: str, columns: list[str], digits: int = 6) -> DataFrame:
     """key and (x - mean) / population deviation of each column; a constant column gives null."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])

@@ -62,46 +62,6 @@ def error_curve(rows: DataFrame, key: str, trees: int = 20) -> DataFrame:
     return rows.sparkSession.createDataFrame([(k + 1, float(e)) for k, e in enumerate(errors)], "n_trees bigint, mse double")
 
 
-def forward_selection(rows: DataFrame, key: str, candidates: list[int], most: int = 3) -> DataFrame:
-    """place, feature, mse: wrapper selection, each step adding the feature with which a linear model errs least on the test fold.
-
-    The model of every candidate set is solved from one Gram matrix of the training rows, so the data are read once, not once a model."""
-    import numpy as np
-
-    train, test = split(rows, key)
-
-    def gram(df: DataFrame) -> np.ndarray:
-        from pyspark.ml.functions import vector_to_array
-
-        v = vector_to_array("features")
-        cols = [F.lit(1.0), *[v[i] for i in candidates], F.col("label")]
-        pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-        one = df.agg(*[F.sum(cols[i] * cols[j]) for i, j in pairs]).first()
-        g = np.zeros((len(cols), len(cols)))
-        for (i, j), s in zip(pairs, one, strict=True):
-            g[i, j] = g[j, i] = s or 0.0
-        return g
-
-    a, b = gram(train), gram(test)
-    chosen: list[int] = []
-    out, best = [], float("inf")
-    while len(chosen) < min(most, len(candidates)):
-        tried = []
-        for c in range(len(candidates)):
-            if c in chosen:
-                continue
-            at = [0, *[x + 1 for x in (*chosen, c)]]
-            w = np.linalg.lstsq(a[np.ix_(at, at)], a[at, -1], rcond=None)[0]
-            tried.append(((b[-1, -1] - 2 * w @ b[at, -1] + w @ b[np.ix_(at, at)] @ w) / max(b[0, 0], 1), c))
-        err, c = min(tried)
-        if err >= best:
-            break
-        chosen.append(c)
-        best = err
-        out.append((len(chosen), candidates[c], float(err)))
-    return rows.sparkSession.createDataFrame(out, "place bigint, feature bigint, mse double")
-
-
 def noise_robustness(rows: DataFrame, key: str, noise: int = 7, seed: int = 3) -> DataFrame:
     """feature, importance, is_noise after `noise` random columns are added: they should get little importance."""
     extra = rows.select(key, "label", "features", *[F.randn(seed + k).alias(f"noise_{k}") for k in range(noise)])
@@ -125,3 +85,26 @@ def asked(points: DataFrame, oracle, array: str = "x") -> DataFrame:
         return x.map(lambda v: None if v is None else float(oracle(v)))
 
     return points.withColumn("y", ask(F.col(array)))
+
+
+def asked_program(points: DataFrame, command: list[str], array: str = "x", as_arguments: bool = False, timeout_s: int = 600) -> DataFrame:
+    """points with y, the answers of an outside program that must be there on the executors: a process for each batch that reads the points, a line
+    of numbers each, and prints a number for each; or (as_arguments) a process for each point, which has its numbers as arguments.
+
+    A program that fails, or doesn't print as many numbers, fails the query; a null point has a null answer."""
+
+    @F.pandas_udf("double")
+    def ask(x: pd.Series) -> pd.Series:
+        import subprocess
+
+        def run(more: list[str], text: str) -> list[float]:
+            return [float(v) for v in subprocess.run([*command, *more], input=text, capture_output=True, text=True, check=True, timeout=timeout_s).stdout.split()]
+
+        have = x[x.notna()]
+        lines = [[repr(float(v)) for v in point] for point in have]
+        got = [run(line, "")[0] for line in lines] if as_arguments else run([], "".join(" ".join(line) + "\n" for line in lines)) if lines else []
+        if len(got) != len(lines):
+            raise ValueError(f"{command[0]} gave {len(got)} answers for {len(lines)} points")
+        return pd.Series(got, index=have.index, dtype="float64").reindex(x.index)
+
+    return points.withColumn("y", ask(F.col(array)))

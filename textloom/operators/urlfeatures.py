@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import urls as U
+from textloom.operators.invert import ranked
 
 SUPPORT = 0.05
 
@@ -27,12 +28,10 @@ def feature_counts(pages: DataFrame, support: float = SUPPORT, url: str = "url")
 def binary_matrix(pages: DataFrame, more_than: int, key: str = "page_id", url: str = "url") -> DataFrame:
     """key and present: the ids (by feature name, from 0) of a URL's features that more than `more_than` URLs have; a sparse 0/1 row.
 
-    Feature ids come from a sort of the supported features, a list bounded by rows / more_than."""
+    Feature ids are places in the total order of the supported features; no task sees all of them."""
     rows = feature_rows(pages, key, url, lengths=False)
     kept = rows.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > more_than)
-    from pyspark.sql import Window as W
-
-    ids = kept.select("feature", (F.row_number().over(W.orderBy("feature")) - 1).cast("bigint").alias("id"))
+    ids = ranked(kept.select("feature"), "feature").select("feature", (F.col("rank") - 1).alias("id"))
     return rows.join(ids, "feature").groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("present"))
 
 

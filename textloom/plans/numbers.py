@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import invert, neural, stats, trees
+from textloom.operators import boost, invert, neural, stats, trees
 from textloom.plans.registry import query
 from textloom.storage import table
 
@@ -76,8 +78,7 @@ def cfs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cfs_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    wide = e.select(F.col("label").cast("double").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"x{i:02d}") for i in range(16)])
-    return stats.cfs(wide, "y", [f"x{i:02d}" for i in range(16)])
+    return stats.cfs_array(e.select("embedding", F.col("label").cast("double").alias("y")), "embedding", "y")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity,
@@ -126,9 +127,13 @@ def nearest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.nearest_centroid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
 
-@query("""SELECT vec_id, i::BIGINT AS i, (x >= 0.5 / 8)::INT AS bit FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings)""")
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT vec_id, i::BIGINT AS i, (((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ())) >= 0.5)::INT AS bit FROM x""")
 def binarized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.unpivot_array(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", "i", (F.col("x") >= 0.0625).cast("int").alias("bit"))
+    """Scaled to 0 ... 1 by the table's range, then cut at 0.5."""
+    x = stats.unpivot_array(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return x.join(F.broadcast(ends), F.lit(True)).select("vec_id", "i", ((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) >= 0.5).cast("int").alias("bit"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +169,19 @@ def gbt_error_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def forward_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(trees.forward_selection(_vectors(spark, sf_dir), "vec_id", list(range(12))), "mse")
+    return _rounded(boost.forward_selection(_vectors(spark, sf_dir), "vec_id", 4, trees=50, rate=0.05, depth=4), "mse")
+
+
+@query()
+def feature_error_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    order = [r.feature for r in trees.importances(v).orderBy(F.desc("importance"), "feature").collect()]  # a row for each dimension
+    return _rounded(boost.error_by_features(v, "vec_id", order, trees=50, rate=0.05, depth=3), "mse")
+
+
+@query()
+def pruned_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(boost.pruned_boosting(_vectors(spark, sf_dir), "vec_id", trees=50, rate=0.03, depth=4, leaf=5), "plain", "pruned")
 
 
 @query()
@@ -179,7 +196,9 @@ def ols_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 5) AS y FROM embeddings")
 def outside_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = trees.asked(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda v: sum(float(x) * float(x) for x in v), "embedding")
+    """A program outside the engine is asked for each point: here another Python, that reads points and prints their squared length."""
+    program = [sys.executable, "-c", "import sys\nfor line in sys.stdin: print(repr(sum(float(x) ** 2 for x in line.split())))"]
+    answers = trees.asked_program(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), program, "embedding")
     return answers.select("vec_id", F.round("y", 5).alias("y"))
 
 
@@ -193,6 +212,11 @@ def autoencoder_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neural.autoencoder_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+@query()
+def deep_autoencoder_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural.autoencoder_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", hidden=(32,))
+
+
 @query()
 def sparse_autoencoder_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neural.autoencoder_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", noise=0.0, sparsity=0.01)

@@ -30,10 +30,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query(HASHED + """, l AS (SELECT doc_id, len(sig) AS n, unnest(sig) AS h FROM sig),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
-  FROM l a JOIN l b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, shared, round(100 * shared / (na + nb - shared))::BIGINT AS pct FROM p WHERE shared > 0.75 * (na + nb - shared)""")
+@query(HASHED + """, c AS (SELECT min(doc_id) AS rep, sig FROM sig GROUP BY sig), l AS (SELECT rep, len(sig) AS n, unnest(sig) AS h FROM c),
+p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM l a JOIN l b ON a.h = b.h AND a.rep < b.rep GROUP BY ALL)
+SELECT doc_a, doc_b, shared, round(100 * shared / (na + nb - shared))::BIGINT AS pct FROM p WHERE shared > 0.75 * (na + nb - shared)
+UNION ALL SELECT rep, doc_id, len(sig), 100 FROM sig JOIN c USING (sig) WHERE doc_id <> rep""")
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(documents(spark, sf_dir))
 

@@ -37,12 +37,6 @@ def som_vectors(df: DataFrame, array: str, name: str, path: str) -> None:
     head.unionAll(rows).repartitionByRange("k").sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
 
 
-def postings_table(posting: DataFrame, path: str, buckets: int | None = None) -> None:
-    """The index as Parquet sorted by term: a term's row groups are found by their statistics."""
-    out = posting.repartitionByRange(buckets, "term") if buckets else posting.repartitionByRange("term")
-    out.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
-
-
 def forward_index(df: DataFrame, path: str, order: str = "little") -> None:
     """(doc, words) as binary records, a file for each partition, named by what it holds so that a task run again writes the same name."""
     mark = "<" if order == "little" else ">"
@@ -68,3 +62,82 @@ def forward_index(df: DataFrame, path: str, order: str = "little") -> None:
             yield pd.DataFrame({"file": [name], "n": [n]})
 
     df.select("doc", "words").mapInPandas(write, "file string, n bigint").collect()
+
+
+def inverted_index(lists: DataFrame, path: str) -> None:
+    """(word, docs) as binary files, one for each task: (word, offset) pairs up to (0, 0), then the lists at their offsets, each its length and documents."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        words, docs = [], []
+        for b in batches:
+            words += b["word"].to_list()
+            docs += [np.array([len(d)], "<u4").tobytes() + np.asarray(d, "<u8").tobytes() for d in b["docs"]]
+        if words:
+            system, where = fs.FileSystem.from_uri(path)
+            system.create_dir(where, recursive=True)
+            at = 16 * (len(words) + 1) + np.cumsum([0, *map(len, docs)])[:-1]
+            name = f"{where}/part-{uuid.uuid4().hex}.idx"
+            with system.open_output_stream(name + ".part") as out:
+                out.write(np.array([*zip(words, at.tolist(), strict=True), (0, 0)], "<u8").tobytes() + b"".join(docs))
+            system.move(name + ".part", name)
+            yield pd.DataFrame({"file": [name], "n": [len(words)]})
+
+    lists.select("word", "docs").mapInPandas(write, "file string, n bigint").collect()
+
+
+def save_model(model, path: str) -> None:
+    """A fitted Spark ML model, or a numpy network of operators.neural."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+        return
+    import io
+    import json
+
+    from pyarrow import fs
+
+    kept = {k: v for k, v in vars(model).items() if not isinstance(v, np.random.Generator)}
+    arrays = {f"{k}.{i}": a for k, v in kept.items() if isinstance(v, list) and v and isinstance(v[0], np.ndarray) for i, a in enumerate(v)} | {k: v for k, v in kept.items() if isinstance(v, np.ndarray)}
+    plain = {k: v for k, v in kept.items() if not any(a == k or a.startswith(f"{k}.") for a in arrays)}
+    data = io.BytesIO()
+    np.savez(data, plain=np.frombuffer(json.dumps({"kind": type(model).__name__} | plain).encode(), np.uint8), **arrays)
+    system, where = fs.FileSystem.from_uri(path)
+    with system.open_output_stream(where) as out:
+        out.write(data.getvalue())
+
+
+def load_network(path: str):
+    """A network that save_model() wrote."""
+    import io
+    import json
+
+    from pyarrow import fs
+
+    from textloom.operators import neural
+
+    system, where = fs.FileSystem.from_uri(path)
+    with system.open_input_file(where) as f:
+        got = dict(np.load(io.BytesIO(f.read()), allow_pickle=False))
+    values = json.loads(got.pop("plain").tobytes())
+    lists: dict[str, dict[int, np.ndarray]] = {}
+    for k, a in got.items():
+        name, _, i = k.partition(".")
+        if i:
+            lists.setdefault(name, {})[int(i)] = a
+        else:
+            values[k] = a
+    values |= {k: [v[i] for i in sorted(v)] for k, v in lists.items()}
+    return {"Net": neural.Net, "Rbm": neural.Rbm}[values.pop("kind")](**values)
+
+
+def dump_statistics(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of counts under its name, as Parquet."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_statistics(spark, path: str, *names: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}

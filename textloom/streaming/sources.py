@@ -76,7 +76,7 @@ def admit_batch(quotas: DataFrame, stream: DataFrame, cluster: str = "cluster",
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    left = stream.join(F.broadcast(quotas.select(cluster, F.ceil("quota").alias("quota"))), cluster)
+    left = stream.join(quotas.select(cluster, F.ceil("quota").alias("quota")), cluster)
     kinds = {f.name: f.dataType.simpleString() for f in left.schema}
 
     def step(key, batches, state):
