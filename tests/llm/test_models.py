@@ -51,6 +51,21 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(p, want) and np.isclose(logz, z_all) and np.allclose(pairs, want_pairs)
 
 
+def test_quality_of_documents_against_a_plain_version(spark):
+    """Features, chains and document scores of the query, with the weights that its training finds."""
+    from tests.llm import brute
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = quality.train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "ÀÉ ñ 12!!\n\nok ok ok.\n#$ %^"), (9005, "w " * 4000), (9006, "a\nb\r\nc c")]
+    got = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", quality.scorer(model)("text").alias("q")).collect()
+    for r in got:
+        q, n, bad, keep = brute.quality(dict(rows)[r.doc_id], model)
+        assert abs(r.q.quality - q) < 2e-5 and (r.q.n_lines, r.q.n_bad) == (n, bad), r
+        assert r.q.keep == keep or abs(q - model.threshold) < 2e-5
+    assert 0.5 < sum(r.q.keep for r in got) / len(got) < 1
+
+
 ODD = [(1, None, "en", "a"), (2, "", "en", "a"), (None, "some good words here", None, None), (3, "w " * 50_000, "xx", "b"), (4, "\n\n", "en", "b"), (4, "twice", "en", "b"), (4, "twice", "en", "b")]
 
 
@@ -66,6 +81,81 @@ def test_quality_defined_cases(spark):
     assert set(quality.keep_good(odd, labels.where("doc_id < -1")).columns) == set(odd.columns)
 
 
+def small_net(rng):
+    net = toxicity.Net(rng.normal(0, 0.5, (toxicity.HASHES, 40, toxicity.DIM)), [rng.normal(0, 0.5, (w, toxicity.HASHES * toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], rng.normal(0, 0.3, (len(toxicity.WIDTHS), toxicity.FILTERS)), rng.normal(0, 0.5, len(toxicity.WIDTHS) * toxicity.FILTERS), 0.1)
+    size = np.array([5, 0, 1, 2, 9, 3])
+    return net, rng.integers(0, 40, (size.sum(), toxicity.HASHES)), np.concatenate([[0], np.cumsum(size)])
+
+
+def test_convolution_against_loops():
+    net, b, first = small_net(np.random.default_rng(3))
+    got = net.score(b, first)
+    for d in range(len(first) - 1):
+        words = [np.concatenate([net.emb[h][row[h]] for h in range(toxicity.HASHES)]) for row in b[first[d] : first[d + 1]]]
+        if not words:
+            assert got[d] == 0
+            continue
+        z = net.out_bias
+        for w, width in enumerate(toxicity.WIDTHS):
+            padded = words + [np.zeros(len(words[0]))] * (width - 1)
+            for f in range(toxicity.FILTERS):
+                top = max(sum(float(padded[k + j] @ net.conv[w][j, :, f]) for j in range(width)) for k in range(len(words) - width + 1 if len(words) >= width else len(words)))
+                z += max(top + net.bias[w, f], 0) * net.out[w * toxicity.FILTERS + f]
+        assert abs(got[d] - 1 / (1 + math.exp(-z))) < 1e-5
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    net, b, first = small_net(rng)
+    y, weight = np.array([1.0, 0, 1, 0, 1, 0]), np.array([1.0, 2, 0.5, 1, 1, 3])
+
+    def loss():
+        z = net.logits(net.pooled(b, first).astype(float))
+        return float(np.mean(weight * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - z * y)) + toxicity.DECAY / 2 * (net.out**2).sum())
+
+    g_conv, g_bias, g_out, gb, g_emb = toxicity.gradients(net, b, first, y, weight)
+    dense = np.zeros_like(net.emb)
+    for h, rows, g in g_emb:
+        np.add.at(dense[h], rows, g)
+    h = 1e-3
+    for values, grad in [*zip(net.conv, g_conv, strict=True), (net.bias, g_bias), (net.out, g_out), (net.emb, dense)]:
+        big = np.argsort(-np.abs(grad).ravel())[:8]
+        for k in [*big, *rng.integers(0, values.size, 4)]:
+            at = np.unravel_index(k, values.shape)
+            old = values[at]
+            values[at] = old + h
+            up = loss()
+            values[at] = old - h
+            down = loss()
+            values[at] = old
+            assert abs((up - down) / (2 * h) - grad[at]) < 2e-3 + 0.03 * abs(grad[at])
+    net.out_bias += h
+    up = loss()
+    net.out_bias -= 2 * h
+    assert abs((up - loss()) / (2 * h) - gb) < 1e-3
+
+
+def test_the_filters_find_word_order():
+    """Two words are toxic only next to each other and in order: single words can't tell."""
+    rng = np.random.default_rng(5)
+    texts, y = [], []
+    for k in range(4400):
+        w = [f"w{rng.integers(0, 30)}" for _ in range(12)]
+        at = int(rng.integers(0, 10))
+        w[at : at + 2] = ["vile", "thing"] if k % 2 else ["thing", "vile"]
+        texts.append(" ".join(w))
+        y.append(float(k % 2))
+    import pyarrow as pa
+
+    from textloom.llm.textbytes import words
+
+    y = np.array(y)
+    code = lambda t: (lambda w: (toxicity.buckets(toxicity.codes(w)), w.first))(words(pa.array(t)))
+    net = toxicity.fit(*code(texts[:4000]), y[:4000])
+    p = net.score(*code(texts[4000:]))
+    assert ((p > 0.5) == y[4000:]).mean() > 0.9
+
+
 def test_toxicity_on_documents_not_trained_on(spark):
     """At sf0.1: with fewer labels some languages have only a handful of toxic documents to learn from."""
     docs, labels = table(spark, LARGER, "documents"), table(spark, LARGER, "labels")

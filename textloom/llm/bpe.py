@@ -9,7 +9,7 @@ array with a heap of ranks, as repeated scans would take quadratic time.
 The vocabulary is a file of base64 token and rank lines; its path is a parameter, default VOCABULARY, and must be readable on the
 executors.
 
-Defined cases: a null text has null tokens and decodes to null; an empty text has no tokens; texts of any length are
+Defined cases: an empty table gives no rows; rows repeated with one doc_id, and rows with a null one, have a result each; pairs of equal rank (ties) join from the left; a null text has null tokens and decodes to null; an empty text has no tokens; texts of any length are
 encoded whole; special-token strings in a text are ordinary text; other columns are ignored by encoded().
 """
 

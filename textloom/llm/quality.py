@@ -8,8 +8,10 @@ Training: labels.quality marks documents, not lines. Lines start with their docu
 documents that the model holds for good are relabelled (one bad line at least remains) and it is fitted again.
 It is fitted on a bounded sample, SAMPLE labelled documents of each class in hash order; scoring covers whole texts of all documents.
 
-Defined cases: a null text or one without a word has quality 0 and isn't kept; a null doc_id is scored like any other; without
-labels of both classes every text with a word has quality 1 and is kept; a document's other columns are ignored.
+Defined cases: an empty table gives no rows; a null or empty text, or one without a word, has quality 0 and isn't kept; texts of any length are scored whole;
+a null doc_id is scored like any other, and rows repeated with one doc_id have a result each; without
+labels of both classes every text with a word has quality 1 and is kept; a document with both labels counts as bad; a quality of just the threshold (a tie) is kept;
+a document's other columns, whatever their names, are ignored by quality() and kept by keep_good().
 """
 
 from __future__ import annotations

@@ -2,8 +2,8 @@
 
 A word (letters and digits, lower case) has a row in each of HASHES embedding tables, concatenated: two rows by independent
 hashes of the word, so that words are alike only if both collide, and one by the hash of its first HEAD bytes, so that forms
-of one stem share what is learned. Filters of each width in WIDTHS slide over a text's words (a text
-shorter than a width is padded with zeros), ReLU, the maximum over the text, then a logistic layer. Training is Adam on mini-batches;
+of one stem share what is learned. Filters of each width in WIDTHS slide over a text's words (in a text
+shorter than a width a window begins at each word, with zeros behind the last), ReLU, the maximum over the text, then a logistic layer. Training is Adam on mini-batches;
 the gradient of a maximum reaches only the window that has it. The first dimension of the embeddings and the first
 filter of each width start from the log-odds of the table's rows on the training texts.
 
@@ -32,7 +32,7 @@ from textloom.llm.textbytes import U, Words, mix, slices, words
 #: BINS: of scores, for each unit of log-odds.
 SAMPLE, PRIOR, BINS = 2000, 8, 50
 ROWS, DIM, HASHES, WIDTHS, FILTERS, HEAD = 1 << 16, 8, 3, (1, 2, 3), 8, 5
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 5
+EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.02, 1e-4, 5
 _SALT = [U(0x51ED270B0A1F39C1), U(0xB492B66FBE98F273), U(0x9AE16A3B2F90404F)]
 
 
@@ -108,7 +108,7 @@ class Net:
 def start(b: np.ndarray, first: np.ndarray, y: np.ndarray) -> Net:
     """Weights before training; dimension 0 of the tables holds log-odds."""
     rng = np.random.default_rng(SEED)
-    emb = rng.normal(0, 0.05, (HASHES, ROWS, DIM)).astype(np.float32)
+    emb = rng.normal(0, 0.3, (HASHES, ROWS, DIM)).astype(np.float32)
     doc = np.repeat(np.arange(len(y)), np.diff(first))
     for h in range(HASHES):
         seen = np.unique(b[:, h].astype(np.int64) * len(y) + doc)
@@ -118,12 +118,44 @@ def start(b: np.ndarray, first: np.ndarray, y: np.ndarray) -> Net:
         odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
         sure = 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))  # two standard errors nearer to 0: rare words say little
         emb[h, :, 0] = np.where(pos + neg > 0, np.sign(odds) * np.maximum(np.abs(odds) - sure, 0), 0)
-    conv = [rng.normal(0, 0.1, (w, HASHES * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    # filters that start dead would never learn: random ones answer to about half of the texts
+    conv = [rng.normal(0, 1.4 / np.sqrt(w * HASHES * DIM), (w, HASHES * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    bias = np.zeros((len(WIDTHS), FILTERS), np.float32)
     for c in conv:
+        c[:, :, 0] *= 0.2
         c[:, ::DIM, 0] = 0.5 / len(c)
-    out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
+    bias[:, 0] = -0.5
+    out = rng.normal(0, 0.2, len(WIDTHS) * FILTERS).astype(np.float32)
     out[0] = 2.0
-    return Net(emb, conv, np.full((len(WIDTHS), FILTERS), -0.5, np.float32), out, -3.0)
+    return Net(emb, conv, bias, out, -3.0)
+
+
+def gradients(net: Net, bb: np.ndarray, ff: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """Gradients of a batch's weighted mean cross-entropy and the output layer's decay, for the filters, bias, output weights and bias, and as (table, rows,
+    gradients) for the embeddings' rows, which may repeat."""
+    used, inv = zip(*(np.unique(bb[:, h], return_inverse=True) for h in range(HASHES)), strict=True)
+    small = Net(None, net.conv, net.bias, net.out, net.out_bias)
+    tables = [[[net.emb[h][used[h]] @ c[j, h * DIM : (h + 1) * DIM] for h in range(HASHES)] for j in range(len(c))] for c in net.conv]
+    bi = np.stack(inv, axis=1)
+    pooled, arg = small.pooled(bi, ff, tables, where=True)
+    p = 1 / (1 + np.exp(-np.clip(small.logits(pooled), -40, 40)))
+    g = ((p - y) * weight / len(y)).astype(np.float32)
+    act = np.maximum(pooled, 0).reshape(len(y), -1)
+    g_out = act.T @ g + DECAY * net.out
+    g_pool = (g[:, None] * net.out).reshape(pooled.shape) * (pooled > 0)
+    g_conv = [np.zeros_like(c) for c in net.conv]
+    g_emb: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for w, width in enumerate(WIDTHS):
+        d, f = np.nonzero((g_pool[:, w] != 0) & (arg[:, w] >= 0))
+        at, gg = arg[d, w, f], g_pool[d, w, f]
+        for j in range(width):
+            ok = at + j < ff[d + 1]
+            for h in range(HASHES):
+                rows = used[h][bi[at[ok] + j, h]]
+                sl = slice(h * DIM, (h + 1) * DIM)
+                np.add.at(g_conv[w][j, sl].T, f[ok], gg[ok, None] * net.emb[h][rows])
+                g_emb.append((h, rows, gg[ok, None] * net.conv[w][j, sl][:, f[ok]].T))
+    return g_conv, g_pool.sum(0), g_out, float(g.sum()), g_emb
 
 
 def fit(b: np.ndarray, first: np.ndarray, y: np.ndarray) -> Net:
@@ -138,37 +170,15 @@ def fit(b: np.ndarray, first: np.ndarray, y: np.ndarray) -> Net:
         for k in range(0, len(y), BATCH):
             pick = np.sort(order[k : k + BATCH])
             idx = np.concatenate([np.arange(first[d], first[d + 1]) for d in pick])
-            bb, ff = b[idx], np.concatenate([[0], np.cumsum(first[pick + 1] - first[pick])])
-            used, inv = zip(*(np.unique(bb[:, h], return_inverse=True) for h in range(HASHES)), strict=True)
-            small = Net(None, net.conv, net.bias, net.out, net.out_bias)
-            tables = [[[net.emb[h][used[h]] @ c[j, h * DIM : (h + 1) * DIM] for h in range(HASHES)] for j in range(len(c))] for c in net.conv]
-            bi = np.stack(inv, axis=1)
-            pooled, arg = small.pooled(bi, ff, tables, where=True)
-            p = 1 / (1 + np.exp(-np.clip(small.logits(pooled), -40, 40)))
-            g = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            act = np.maximum(pooled, 0).reshape(len(pick), -1)
-            g_out = act.T @ g + 1e-4 * net.out
-            g_pool = (g[:, None] * net.out).reshape(pooled.shape) * (pooled > 0)
-            g_conv = [np.zeros_like(c) for c in net.conv]
-            g_emb: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for w, width in enumerate(WIDTHS):
-                d, f = np.nonzero((g_pool[:, w] != 0) & (arg[:, w] >= 0))
-                at, gg = arg[d, w, f], g_pool[d, w, f]
-                for j in range(width):
-                    ok = at + j < ff[d + 1]
-                    for h in range(HASHES):
-                        rows = used[h][bi[at[ok] + j, h]]
-                        sl = slice(h * DIM, (h + 1) * DIM)
-                        np.add.at(g_conv[w][j, sl].T, f[ok], gg[ok, None] * net.emb[h][rows])
-                        g_emb.append((h, rows, gg[ok, None] * net.conv[w][j, sl][:, f[ok]].T))
+            ff = np.concatenate([[0], np.cumsum(first[pick + 1] - first[pick])])
+            g_conv, g_bias, g_out, gb, g_emb = gradients(net, b[idx], ff, y[pick], weight[pick])
             step += 1
-            for prm, (m, v), gr in zip(params, mom, [*g_conv, g_pool.sum(0), g_out], strict=True):
+            for prm, (m, v), gr in zip(params, mom, [*g_conv, g_bias, g_out], strict=True):
                 m += 0.1 * (gr - m)
                 v += 0.01 * (gr * gr - v)
                 prm -= RATE * 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             for h, rows, gr in g_emb:
                 np.add.at(net.emb[h], rows, -RATE * 5 * gr)
-            gb = float(g.sum())
             bm, bv = bm + 0.1 * (gb - bm), bv + 0.01 * (gb * gb - bv)
             net.out_bias -= RATE * 0.25 * (bm / (1 - 0.9**step)) / (np.sqrt(bv / (1 - 0.99**step)) + 1e-8)
     return net
