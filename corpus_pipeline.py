@@ -1,7 +1,12 @@
 """The corpus pipeline: quality classifier, exact dedup, near-duplicate join, source mixing, BPE.
 
 run() writes each stage's result as Parquet to the shared folder and gives it to the next. All but the last stage return the columns of
-documents. The quality weights of the mixing stage are the labels', as in its query; its targets are the module's.
+documents. The quality weights of the mixing stage are the labels', and for documents without one the mean of their source, as in its query; its targets are the module's.
+
+Defined cases: an empty table gives no rows in any stage; a null or empty text, or one without a word, goes in the first stage; texts of any length go through whole;
+a row with a null doc_id is kept by both deduplications and never taken into the mixture; rows repeated with one doc_id are one document to
+both, all of them stay, and each is mixed by itself; of equal or similar documents (ties) the smallest doc_id stays; further columns, whatever
+their names, are carried up to the last stage.
 """
 
 from __future__ import annotations
