@@ -218,3 +218,17 @@ def test_simple9_sizes_of_the_index(spark):
         want[r.term] = 4 * n
     got = {r.term: (r.n_bytes, r.same) for r in QUERIES["simple9_roundtrip"](spark, SMALL).collect()}
     assert got == {t: (n, True) for t, n in want.items()}
+
+
+def test_shuffling_and_the_top_features(spark):
+    from textloom.operators import invert
+
+    d = spark.range(50)
+    a, b = ([r.id for r in invert.shuffled(x, "id", 3).collect()] for x in (d, d.repartition(5)))
+    assert a == b and sorted(a) == list(range(50)) and a != list(range(50)) and a != [r.id for r in invert.shuffled(d, "id", 4).collect()]
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(v) for v in x], float(3 * x[2] + x[0])) for k, x in enumerate(rng.normal(size=(200, 4)))]
+    v = trees.vectors(spark.createDataFrame(rows, "id bigint, x array<double>, y double"), "id", "x", "y")
+    assert [r.feature for r in trees.top_features(v, 2).collect()] == [2, 0]
+    train, held = trees.hold_out(v, "id")
+    assert train.count() + held.count() == 200 and 5 < held.count() < 40

@@ -42,3 +42,8 @@ def runs(df: DataFrame, partition: str, order: str, value: str) -> DataFrame:
 def top(df: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows: each task keeps n, and only those meet."""
     return df.orderBy(*order).limit(n)
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 1) -> DataFrame:
+    """df in a random order that is the same in every run: that of a hash of seed and key."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)

@@ -44,6 +44,17 @@ def importances(rows: DataFrame, model: GBTRegressor | None = None) -> DataFrame
     return rows.sparkSession.createDataFrame(got, "feature bigint, importance double")
 
 
+def top_features(rows: DataFrame, n: int, model: GBTRegressor | None = None) -> DataFrame:
+    """The n features that contribute most, ties by index."""
+    return importances(rows, model).orderBy(F.desc("importance"), "feature").limit(n)
+
+
+def hold_out(rows: DataFrame, key: str, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(training, held out): a share of the rows by a hash of the key, the same in every run."""
+    place = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return rows.where(place >= share), rows.where(place < share)
+
+
 def select_embedded(rows: DataFrame, key: str, threshold: float = 0.02) -> DataFrame:
     """n_features, mse of the full model and of the refit on the features whose importance reaches the threshold."""
     train, test = split(rows, key)

@@ -99,6 +99,14 @@ def cart_best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(F.broadcast(n), F.lit(True)).select("feature", F.round("threshold", 6).alias("threshold"), F.round(F.col("gain") / F.col("n"), 0).alias("gain"), "n_left")
 
 
+@query("""SELECT count(*) FILTER (p >= 0.1) AS n_train, count(*) FILTER (p < 0.1) AS n_held, min(o_orderkey) FILTER (p < 0.1) AS first_held
+FROM (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296 AS p FROM orders)""")
+def hold_out_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, held = trees.hold_out(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    one = held.agg(F.count("*").alias("n_held"), F.min("o_orderkey").alias("first_held"))
+    return train.agg(F.count("*").alias("n_train")).join(F.broadcast(one), F.lit(True))
+
+
 @query("""WITH r AS (SELECT (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 4) AS fold, o_custkey::DOUBLE AS x, o_totalprice AS y FROM orders),
 m AS (SELECT f.fold, regr_slope(r.y, r.x) AS slope, regr_intercept(r.y, r.x) AS icpt FROM (SELECT DISTINCT fold FROM r) f JOIN r ON r.fold <> f.fold GROUP BY f.fold)
 SELECT fold, count(*) AS n, round(avg((y - slope * x - icpt) ** 2) / 1e6, 2) AS mse_m FROM r JOIN m USING (fold) GROUP BY fold""")
@@ -157,6 +165,11 @@ def gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trees.importances(_vectors(spark, sf_dir)), "importance")
 
 
+@query()
+def gbt_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(trees.top_features(_vectors(spark, sf_dir), 10), "importance")
+
+
 @query()
 def gbt_importance_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trees.select_embedded(_vectors(spark, sf_dir), "vec_id"), "mse")
