@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, join_ids, renamed
 from textloom.llm.textbytes import U, mix, slices, words
 
-NGRAM, THRESHOLD, BANDS, FANOUT, FRONTIER = 3, 0.5, 28, 8, 20_000
+NGRAM, THRESHOLD, BANDS, FANOUT = 3, 0.5, 28, 8
+#: Bytes of bitmaps that a traversal compares at once.
+FRONTIER = 4 << 20
 #: Largest number of sets, and of their tokens, in a block of a group.
-BLOCK, BLOCK_TOKENS = 2048, 1 << 21
+BLOCK, BLOCK_TOKENS = 2048, 1 << 20
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=U)) | U(1)
 
 SKETCH = "doc_id bigint, h1 bigint, h2 bigint, size int, bands array<bigint>, bits binary"
@@ -100,11 +102,12 @@ class Tree:
 def dual(x: Tree, y: Tree, same: bool, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of documents that may have Jaccard of t or more; with same, each unordered pair once."""
     lx, ly = len(x.levels) - 1, len(y.levels) - 1
+    most_pairs = max(256, FRONTIER // x.levels[0][0][0].nbytes)
     todo = [(lx, ly, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         a, b, i, j = todo.pop()
-        if len(i) > FRONTIER:
-            todo += [(a, b, i[k : k + FRONTIER], j[k : k + FRONTIER]) for k in range(0, len(i), FRONTIER)]
+        if len(i) > most_pairs:
+            todo += [(a, b, i[k : k + most_pairs], j[k : k + most_pairs]) for k in range(0, len(i), most_pairs)]
             continue
         bx, lox, hix, ex = x.levels[a]
         by, loy, hiy, ey = y.levels[b]
