@@ -46,8 +46,9 @@ def test_stages_on_odd_rows(spark):
     """Nulls, empty and long texts, repeated rows and columns with the operators' own names go through all stages."""
     names = ["copies", "mix_id", "mix_row", "sid", "class_id", "keeper", "salt", "hi", "weight", "q", "key", "bucket"]
     clash = [F.lit(k).alias(n) for k, n in enumerate(names)]
-    good = "A plain sentence of words that anyone may read. It goes on for a while, and then it ends."
-    odd = [(None, good + " One."), (70001, None), (70002, ""), (70003, " \n "), (70004, good + " Two."), (70004, good + " Two."), (70005, good + " Two."), (70006, (good + " And more.\n") * 3000), (70007, None)]
+    known = table(spark, SMALL, "documents").join(table(spark, SMALL, "labels").where("quality = 1"), "doc_id").where("lang = 'en' and n_chars > 400").orderBy("doc_id").limit(8).collect()
+    good = "\n".join(r.text.split("\n")[0] for r in known) + "\n"
+    odd = [(None, good + "One."), (70001, None), (70002, ""), (70003, " \n "), (70004, good + "Two."), (70004, good + "Two."), (70005, good + "Two."), (70006, (good + "And more.\n") * 400), (70007, None)]
     extra = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in odd], table(spark, SMALL, "documents").schema)
     docs = table(spark, SMALL, "documents").unionByName(extra).select("*", *clash)
     kept = {}
