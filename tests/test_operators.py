@@ -203,6 +203,7 @@ def test_inversion_has_set_semantics(spark):
     lists = invert.inverted(p, "d", "w", "word", "docs")
     assert {r.word: r.docs for r in lists.collect()} == {7: [1, 2], 8: [1]}
     assert {r.doc: r.words for r in invert.reinverted(lists, "word", "docs", "doc", "words").collect()} == {1: [7, 8], 2: [7]}
+    assert {(r.word, r.block): r.docs for r in invert.inverted(p, "d", "w", "word", "docs", 2).collect()} == {(7, 0): [1], (7, 1): [2], (8, 0): [1]}
 
 
 def test_sentences(spark):

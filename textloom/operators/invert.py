@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 from textloom.storage import cut
 
 
-def inverted(pairs: DataFrame, key: str, value: str, out_key: str, out_list: str) -> DataFrame:
-    """out_key (each value) with the ascending distinct keys it occurs with."""
-    return pairs.select(key, value).where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(value).alias(out_key)).agg(F.array_sort(F.collect_set(key)).alias(out_list))
+BLOCK = 1 << 20
 
 
-def reinverted(lists: DataFrame, key: str, values: str, out_key: str, out_list: str) -> DataFrame:
-    """The inverse of inverted(): each element of the lists with the ascending keys of the lists it is in."""
-    return inverted(lists.select(key, F.explode(values).alias("_v")), key, "_v", out_key, out_list)
+def inverted(pairs: DataFrame, key: str, value: str, out_key: str, out_list: str, block: int = BLOCK) -> DataFrame:
+    """out_key (each value), block, and the ascending distinct keys of the block that it occurs with: keys are whole numbers, and a list is cut into blocks of
+    `block` consecutive ones, so that a value that most keys have doesn't make one huge row."""
+    rows = pairs.select(key, value).where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    return rows.groupBy(F.col(value).alias(out_key), F.expr(f"`{key}` div {block}").alias("block")).agg(F.array_sort(F.collect_set(key)).alias(out_list))
+
+
+def reinverted(lists: DataFrame, key: str, values: str, out_key: str, out_list: str, block: int = BLOCK) -> DataFrame:
+    """The inverse of inverted(): each element of the lists with the ascending keys of the lists it is in, in blocks of these."""
+    return inverted(lists.select(key, F.explode(values).alias("_v")), key, "_v", out_key, out_list, block)
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:

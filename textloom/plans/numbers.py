@@ -20,12 +20,12 @@ def _joined(df: DataFrame, c: str):
     return df.withColumn(c, F.array_join(F.transform(c, lambda x: x.cast("string")), " "))
 
 
-@query("SELECT l_partkey AS word, array_to_string(list(DISTINCT l_orderkey ORDER BY l_orderkey), ' ') AS docs FROM lineitem GROUP BY l_partkey")
+@query("SELECT l_partkey AS word, l_orderkey // 1048576 AS block, array_to_string(list(DISTINCT l_orderkey ORDER BY l_orderkey), ' ') AS docs FROM lineitem GROUP BY 1, 2")
 def invert_words_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(invert.inverted(_lineitem(spark, sf_dir), "l_orderkey", "l_partkey", "word", "docs"), "docs")
 
 
-@query("SELECT l_orderkey AS doc, array_to_string(list(DISTINCT l_partkey ORDER BY l_partkey), ' ') AS words FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS doc, l_partkey // 1048576 AS block, array_to_string(list(DISTINCT l_partkey ORDER BY l_partkey), ' ') AS words FROM lineitem GROUP BY 1, 2")
 def reinvert(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = invert.inverted(_lineitem(spark, sf_dir), "l_orderkey", "l_partkey", "word", "docs")
     return _joined(invert.reinverted(lists, "word", "docs", "doc", "words"), "words")

@@ -16,9 +16,14 @@ def counts_file(counts: DataFrame, path: str, name: str = "feature", n: str = "c
 
 
 def search_report(hits: DataFrame, docs: DataFrame, path: str, shown: str = "url") -> None:
-    """For each query a line of the query, one of the number of documents and one for each document."""
-    rows = hits.join(docs.select("doc_id", F.col(shown).alias("_shown")), "doc_id").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("doc_id", "_shown"))).alias("d"))
-    rows.select(F.concat_ws("\n", "query", F.size("d").cast("string"), F.array_join(F.transform("d", lambda x: x["_shown"]), "\n")).alias("value")).write.mode("overwrite").text(path)
+    """For each query a line of the query, one of the number of documents and one for each document, in the order of doc_id.
+
+    The lines are sorted, not gathered: a query that most documents match is many rows."""
+    lines = hits.select("query", F.lit(2).alias("k"), "doc_id").join(docs.select("doc_id", F.col(shown).cast("string").alias("value")), "doc_id").select("query", "k", "doc_id", "value")
+    n = lines.groupBy("query").agg(F.count("*").cast("string").alias("n"))
+    heads = n.select("query", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("query").alias("value")), F.struct(F.lit(1).alias("k"), F.col("n").alias("value")))).alias("h"))
+    rows = lines.unionAll(heads.select("query", "h.k", F.lit(None).cast("bigint"), "h.value"))
+    rows.repartitionByRange("query", "k", "doc_id").sortWithinPartitions("query", "k", "doc_id").select("value").write.mode("overwrite").text(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
