@@ -80,7 +80,7 @@ def word_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM benchmark), e AS (SELECT DISTINCT word, word[1:1] || word[3:] AS q FROM r WHERE length(word) > 1),
 s AS (SELECT q, word, unnest(range(0, length(word))) AS i FROM e), p AS (SELECT q, word, max(i) AS i FROM s WHERE q[1:i] || word[i+1:i+1] || q[i+1:] = word GROUP BY q, word)
-SELECT 'add' AS op, word[i+1:i+1] AS a, '' AS b, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 6) AS p FROM p GROUP BY 3""")
+SELECT 'add' AS op, word[i+1:i+1] AS a, '' AS b, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 6) AS p FROM p GROUP BY 2""")
 def edit_ops_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _misspelt(spark, sf_dir).select(F.col("q").alias("wrong"), "right")
     return spell.error_model(pairs).withColumn("p", F.round("p", 6))

@@ -182,14 +182,14 @@ def gbt_error_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def forward_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(boost.forward_selection(_vectors(spark, sf_dir), "vec_id", 4, trees=50, rate=0.05, depth=4), "mse")
+    return _rounded(boost.forward_selection(_vectors(spark, sf_dir), "vec_id", 3, trees=30, rate=0.1, depth=3), "mse")
 
 
 @query()
 def feature_error_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     order = [r.feature for r in trees.importances(v).orderBy(F.desc("importance"), "feature").collect()]  # a row for each dimension
-    return _rounded(boost.error_by_features(v, "vec_id", order, trees=50, rate=0.05, depth=3), "mse")
+    return _rounded(boost.error_by_features(v, "vec_id", order, trees=30, rate=0.1, depth=3), "mse")
 
 
 @query()
