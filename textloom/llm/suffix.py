@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textloom.llm.common import BROADCAST_BYTES, cut, private, renamed
+from textloom.llm.common import cut, private, renamed
 from textloom.llm.textbytes import _WORDS_BASE, SOLID, U, Words, mix, prefix, ranges, slices, words
 
 LENGTH, PER_TARGET, CHUNK, RUN_BYTES = 50, 40_000, 8_000, 16 << 20
@@ -324,10 +324,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int | None = N
         heads = sorted(some.to_pylist())
         splitters = sorted({heads[k * len(heads) // targets] for k in range(1, targets)}) if heads else []
     wanted = cut(again.groupBy("doc_id").agg(F.collect_set("word").alias("anchors")), "wanted")
-    rows, words_in = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
-    # a row of a hash relation takes about 60 bytes, and 8 for each anchor
-    few = F.broadcast(wanted) if 60 * rows + 8 * words_in <= BROADCAST_BYTES else wanted
-    texts = src.join(few, "doc_id").select("doc_id", "text", "anchors")
+    texts = src.join(wanted, "doc_id").select("doc_id", "text", "anchors")  # by shuffle: the anchors grow with the texts
     runs = texts.mapInArrow(lambda it: _runs(it, splitters, length, anchor), RUN)
     width = max(len(splitters) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = runs.repartition(width, "target").sortWithinPartitions("target").mapInArrow(lambda it: _merged(it, length, anchor), "doc_id bigint, first bigint, last bigint")
