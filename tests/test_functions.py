@@ -187,3 +187,25 @@ def test_table_functions_give_the_builders_rows(spark):
     assert sorted(tuple(r) for r in spark.sql("SELECT * FROM sentence_candidates(:t)", {"t": text}).collect()) == want and len(want) == 9
     want = [r.h for r in neardup.shingles(d, 3, False).collect()]
     assert [r.h for r in spark.sql("SELECT * FROM shingles(:t, 3)", {"t": text}).orderBy("pos").collect()] == want
+
+
+def test_codecs_decode_many_lists_at_once():
+    """Lists of a task are decoded together, whatever their lengths; a long one takes no step of its own for each word."""
+    rng = np.random.default_rng(4)
+    lists = [rng.integers(0, 1 << rng.integers(1, 28), n) for n in (0, 1, 0, 29, 500, 3, 70_000, 0)]
+    ends = np.cumsum([0, *map(len, lists)])
+    words, n = C.simple9_lists(np.concatenate(lists), ends)
+    at = np.cumsum([0, *n])
+    assert [words[a:b].tobytes() for a, b in zip(at, at[1:])] == [C.simple9(x) for x in lists]
+    v, size = C.from_simple9_lists(words, at)
+    assert v.tolist() == np.concatenate(lists).tolist() and size.tolist() == [len(x) for x in lists]
+    data, size = C.varbytes(np.concatenate(lists))
+    v, n = C.from_varbytes(data, np.concatenate([[0], np.cumsum(size)])[ends])
+    assert v.tolist() == np.concatenate(lists).tolist() and n.tolist() == [len(x) for x in lists]
+
+
+def test_sums_and_differences_of_lists(spark):
+    d = spark.createDataFrame([(k, v) for k, v in enumerate([[3, 4, 9], [], None, [-5, 2], [7]])], "k int, v array<bigint>").coalesce(1)
+    got = d.select("k", C.differences("v").alias("d"), C.cumulated(C.differences("v")).alias("v")).orderBy("k").collect()
+    assert [r.d for r in got] == [[3, 1, 5], [], None, [-5, 7], [7]] and [r.v for r in got] == [[3, 4, 9], [], None, [-5, 2], [7]]
+    assert [r.v for r in d.where("k > 1").select("k", C.varbyte_decode(C.varbyte_encode(F.expr("transform(v, x -> abs(x))"))).alias("v")).orderBy("k").collect()] == [None, [5, 2], [7]]
