@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,37 @@ def test_fan_out(spark):
 def test_framing(spark):
     d = spark.createDataFrame([("a", "hello\nworld and more\nrest")], "sender string, data string")
     assert [(r.n, r.part) for r in kv.framed(d, 6).collect()] == [(0, "hello"), (1, "world "), (2, "and mo"), (3, "re")]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+def test_lists_are_shuffled_in_parts(spark, monkeypatch):
+    """A task inverts its documents first: a row a term and chunk goes to the shuffle, not one a document, and it is shuffled once."""
+    rows = [(k, f"all t{k % 7} {'z' * (k % 3)}") for k in (*range(-9, 400), 5, 5)] + [(None, "all"), (1, None)]
+    want = {}
+    for k, text in rows:
+        for w in set((text or "").split()) if k is not None else ():
+            want.setdefault((w, -(-k // 100) if k < 0 else k // 100), set()).add(k)
+    want = {t: sorted(v) for t, v in want.items()}
+    d = spark.createDataFrame(rows, DOCS).repartition(3)
+    for chunk in (1 << 20, 500):
+        monkeypatch.setattr(index, "CHUNK", chunk)
+        assert {(r.term, r.block): r.docs for r in index.postings(d, block=100).collect()} == want
+    monkeypatch.undo()
+    seen = list(index.parts_of(1 << 20)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "w": [["all", "x"]] * 5000})])))
+    assert sum(map(len, seen)) == 2
+    assert exchanges(index.postings(spark.range(9).selectExpr("id doc_id", "'a b' text"))) == 1
+
+
+def test_parts_of_a_list_meet_over_batches():
+    parts = [("a", 0, [1, 5]), ("a", 0, [3, 5]), ("a", 0, [9]), ("a", 1, [2]), ("b", 0, [-4, 2]), ("c", 2, [0]), ("c", 2, [1])]
+    for size in (1, 2, 3, 7):
+        few = [parts[k : k + size] for k in range(0, len(parts), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([p[0] for p in f]), pa.array([p[1] for p in f], pa.int64()), pa.array([p[2] for p in f], pa.list_(pa.int32()))], ["term", "block", "at"]) for f in few]
+        lists = [(r["term"], r["block"], r["df"], r["docs"]) for b in index.merged(10, False)(iter(batches)) for r in b.to_pylist()]
+        assert lists == [("a", 0, 4, [1, 3, 5, 9]), ("a", 1, 1, [12]), ("b", 0, 2, [-4, 2]), ("c", 2, 2, [20, 21])]
+        long = [(r["term"], r["doc_id"], r["gap"], r["nth"]) for b in index.merged(10, True)(iter(batches)) for r in b.to_pylist()]
+        assert long == [("a", 1, 1, 1), ("a", 3, 2, 2), ("a", 5, 2, 3), ("a", 9, 4, 4), ("a", 12, 12, 1), ("b", -4, -4, 1), ("b", 2, 6, 2), ("c", 20, 20, 1), ("c", 21, 1, 2)]
+    assert list(index.merged(10, True)(iter([]))) == []
