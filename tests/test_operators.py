@@ -308,3 +308,11 @@ def test_parts_of_a_list_meet_over_batches():
         long = [(r["term"], r["doc_id"], r["gap"], r["nth"]) for b in index.merged(10, True)(iter(batches)) for r in b.to_pylist()]
         assert long == [("a", 1, 1, 1), ("a", 3, 2, 2), ("a", 5, 2, 3), ("a", 9, 4, 4), ("a", 12, 12, 1), ("b", -4, -4, 1), ("b", 2, 6, 2), ("c", 20, 20, 1), ("c", 21, 1, 2)]
     assert list(index.merged(10, True)(iter([]))) == []
+
+
+def test_gaps_are_shuffled_once(spark):
+    d = spark.range(2000).selectExpr("id * 3 as doc_id", "concat('all ', id % 5) as text")
+    assert exchanges(index.delta_rows(d)) == 1
+    got = sorted((r.doc_id, r.gap) for r in index.delta_rows(d).where("term = 'all'").collect())
+    assert got == [(3 * k, 3 if k else 0) for k in range(2000)]
+    assert sorted((r.nth, r.doc_id, r.gap) for r in index.skips(d, 50).where("term = '1'").collect()) == [(50 * k, 3 * (250 * k - 4), 738 if k == 1 else 750) for k in range(1, 9)]
