@@ -316,3 +316,15 @@ def test_gaps_are_shuffled_once(spark):
     got = sorted((r.doc_id, r.gap) for r in index.delta_rows(d).where("term = 'all'").collect())
     assert got == [(3 * k, 3 if k else 0) for k in range(2000)]
     assert sorted((r.nth, r.doc_id, r.gap) for r in index.skips(d, 50).where("term = '1'").collect()) == [(50 * k, 3 * (250 * k - 4), 738 if k == 1 else 750) for k in range(1, 9)]
+
+
+def test_a_sample_for_the_driver_sends_about_its_rows(spark):
+    """The first rows in hash order, of which the tasks send about as many as are asked for in all, not each."""
+    rows = spark.range(0, 40_000, 1, 16)
+    few = invert.sampled(rows, "id", 500)
+    assert [r.id for r in few.collect()] == [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(500).collect()]
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    limit = int(plan.split("<= ")[1].split(")")[0])
+    assert 500 <= rows.where(F.shiftright(F.xxhash64("id"), 48) <= limit).count() < 510
+    assert invert.sampled(rows.limit(0), "id", 5).count() == 0 and invert.sampled(rows, "id", 50_000).count() == 40_000
+    assert sorted(r.id for r in invert.sampled(spark.range(3).union(spark.range(3)), "id", 6).collect()) == [0, 0, 1, 1, 2, 2]

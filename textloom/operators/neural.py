@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import invert
+
 SAMPLE = 20_000
 
 
 def sample(df: DataFrame, key: str, array: str, *more: str, rows: int = SAMPLE) -> pd.DataFrame:
     """At most `rows` rows in hash order."""
-    return df.where(F.col(array).isNotNull()).select(key, array, *more).orderBy(F.xxhash64(key), key).limit(rows).toPandas()
+    return invert.sampled(df.where(F.col(array).isNotNull()).select(key, array, *more), key, rows).toPandas()
 
 
 def matrix(values: pd.Series) -> np.ndarray:
