@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,3 +210,15 @@ def test_sums_and_differences_of_lists(spark):
     got = d.select("k", C.differences("v").alias("d"), C.cumulated(C.differences("v")).alias("v")).orderBy("k").collect()
     assert [r.d for r in got] == [[3, 1, 5], [], None, [-5, 7], [7]] and [r.v for r in got] == [[3, 4, 9], [], None, [-5, 2], [7]]
     assert [r.v for r in d.where("k > 1").select("k", C.varbyte_decode(C.varbyte_encode(F.expr("transform(v, x -> abs(x))"))).alias("v")).orderBy("k").collect()] == [None, [5, 2], [7]]
+
+
+def test_pages_are_read_a_few_at_a_time(monkeypatch):
+    """However many pages a batch has, only some are held as strings."""
+    from textloom.functions import html
+
+    pages = pa.array([f"<title>t{k}</title>x<a>y</a>" if k % 7 else None for k in range(1000)])
+    made = []
+    monkeypatch.setattr(html.pa, "array", lambda v, *a, f=pa.array: made.append(len(v)) or f(v, *a))
+    got = html.by_page(pages, html.text_of, pa.string()).to_pylist()
+    assert got == [f"t{k}\nx\ny" if k % 7 else None for k in range(1000)] and max(made) <= html.PAGES
+    assert len(html.by_page(pages.slice(0, 0), html.text_of, pa.string())) == 0
