@@ -328,3 +328,18 @@ def test_a_sample_for_the_driver_sends_about_its_rows(spark):
     assert 500 <= rows.where(F.shiftright(F.xxhash64("id"), 48) <= limit).count() < 510
     assert invert.sampled(rows.limit(0), "id", 5).count() == 0 and invert.sampled(rows, "id", 50_000).count() == 40_000
     assert sorted(r.id for r in invert.sampled(spark.range(3).union(spark.range(3)), "id", 6).collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_sketches_need_no_shuffle(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"Wö{rng.randint(0, 60)}" for _ in range(n)) for n in (0, 5, 6, 24, 25, 26, 40, 400, 3000)]
+    d = docs(spark, *texts, None).unionAll(spark.createDataFrame([(None, texts[8])], DOCS)).coalesce(1)
+    assert exchanges(neardup.sketch(d)) == 0
+    for n, k, last in ((20, 5, True), (20, 5, False), (3, 2, True)):
+        h = {}
+        for r in neardup.shingles(d, k, last).collect():
+            h.setdefault(r.doc_id, []).append(r.h)
+        mins = {i: {b: min(x for x in v if x % n == b) for b in {x % n for x in v}} for i, v in h.items()}
+        want = {i: sorted(set(m.values())) if len(m) == n else sorted(set(sorted(h[i])[:n])) for i, m in mins.items() if len(m) == n or len(h[i]) >= n}
+        assert {r.doc_id: r.sig for r in neardup.sketch(d, n, k, last).collect()} == want
+    assert neardup.sketch(d.limit(0)).count() == 0
