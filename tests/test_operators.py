@@ -357,3 +357,44 @@ def test_sentence_score_stays_in_the_row(spark):
     got = sentences.rule_score(d)
     assert got.first().asDict() == want and want["tp"] and want["fn"] and exchanges(got) == 0
     assert sentences.rule_score(d.limit(0)).first().asDict() == {"tp": 0, "tn": 0, "fp": 0, "fn": 0, "accuracy": None}
+
+
+def test_a_key_makes_few_calls_to_its_state():
+    """Each call is a round trip: one get, one update, and a timer only where its time changes."""
+    from pyspark.sql import Row
+
+    from textloom.streaming.kv import Expiring, micros
+
+    class Fake:
+        def __init__(self):
+            self.calls, self.value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            self.calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            self.calls.append(("delete", at))
+
+    fake, p, t = Fake(), Expiring(), datetime(2024, 1, 1)
+    p.init(fake)
+    row = lambda k, s, op, value=None, ttl=60: Row(event_id=k, ts=t + timedelta(seconds=s), us=micros(t + timedelta(seconds=s)), op=op, value=value, ttl=ttl)
+    feed = lambda *rows: [(r.event_id, r.answer) for r in p.handleInputRows((1,), iter(rows), None)]
+    end, ms = lambda s: micros(t) // 1000 + s * 1000, fake.calls
+    assert feed(row(4, 30, "get"), row(1, 0, "get"), row(3, 20, "get"), row(2, 20, "set", 5.0), row(5, 79.999999, "get"), row(6, 80, "get")) == [(1, None), (3, 5.0), (4, 5.0), (5, 5.0), (6, None)]
+    assert ms == ["get", "update", ("register", end(80))]
+    ms.clear()
+    assert feed(row(7, 50, "get")) == [(7, 5.0)] and ms == ["get"]
+    ms.clear()
+    assert feed(row(8, 60, "set", 6.0, 0), row(9, 99_999, "get")) == [(9, 6.0)] and ms == ["get", "update", ("delete", end(80))]
+    assert list(p.handleInputRows((1,), iter([row(10, 60, "set", None)]), None)) == [] and fake.value[2] is None

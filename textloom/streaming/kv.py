@@ -7,10 +7,10 @@ watermark passes it, the value leaves the state store. Values without a time to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from textloom.storage import scratch
@@ -20,40 +20,45 @@ OUTPUT = "event_id bigint, key bigint, answer double"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def micros(ts: datetime) -> int:
+    return round(ts.timestamp() * 1e6)
+
+
+def timer(us: int, ttl: int) -> int:
+    """When a value's time to live is over, in milliseconds."""
+    return us // 1000 + ttl * 1000
+
+
 class Expiring(StatefulProcessor):
-    """set keeps (ts, ttl, value); get answers with the value if it is alive at the time of the get."""
+    """set keeps (ts, ttl, value); get answers with the value if it is alive at the time of the get. Most keys have few rows in a batch, so rows are taken as
+    they are: a data frame a key would cost more than its rows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        is_set = (batch["op"] == "set").to_numpy()
-        ts, ttl, value = batch["ts"].to_numpy("datetime64[us]"), batch["ttl"].to_numpy(), batch["value"].to_numpy(float)
-        # the set before each row; -1: what the state has
-        at = np.maximum.accumulate(np.where(is_set, np.arange(len(batch)), -1))
-        old = self.kept.get() if self.kept.exists() else None
-        since, span, seen = ts[at], np.where(is_set, ttl, 0)[at].astype(float), value[at]
-        none = at < 0
-        if old is not None:
-            since[none], span[none], seen[none] = np.datetime64(pd.Timestamp(old[0]), "us"), old[1], old[2]
-        else:
-            seen[none] = np.nan
-        alive = (span == 0) | (ts < since + (span * 1e6).astype("timedelta64[us]"))
-        out = batch[~is_set]
-        yield pd.DataFrame({"event_id": out["event_id"], "key": key[0], "answer": np.where(alive, seen, np.nan)[~is_set]})
-        if at[-1] >= 0:
-            last = at[-1]
-            self.kept.update((pd.Timestamp(ts[last]).to_pydatetime(), int(ttl[last]), float(value[last])))
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            if ttl[last]:
-                self.handle.registerTimer(int(ts[last].astype("datetime64[ms]").astype(np.int64)) + int(ttl[last]) * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        old, new = self.kept.get(), None
+        last = (micros(old[0]), old[1], old[2]) if old else None
+        ended = timer(*last[:2]) if last and last[1] else None
+        for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
+            if r.op == "set":
+                new, last = r, (r.us, int(r.ttl), r.value)
+            else:
+                alive = last is not None and (last[1] == 0 or r.us < last[0] + last[1] * 1_000_000)
+                yield Row(event_id=r.event_id, key=key[0], answer=last[2] if alive else None)
+        if new is not None:
+            self.kept.update((new.ts, last[1], last[2]))
+            end = timer(*last[:2]) if last[1] else None
+            if end != ended:  # each call is a round trip to the JVM
+                if ended is not None:
+                    self.handle.deleteTimer(ended)
+                if end is not None:
+                    self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.kept.clear()
-        yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64"), "answer": pd.Series(dtype="float64")})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -62,7 +67,7 @@ class Expiring(StatefulProcessor):
 def answers(cmds: DataFrame, late: str = "1 hour") -> DataFrame:
     """The streaming twin of operators.kv.answers. Rows of a key are put in order within a micro-batch; batches may
     overlap by `late`, rows that come later still are dropped."""
-    return cmds.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Expiring(), OUTPUT, "Append", "EventTime")
+    return cmds.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).groupBy("key").transformWithState(Expiring(), OUTPUT, "Append", "EventTime")
 
 
 def run_once(spark: SparkSession, out: DataFrame, timeout_s: int = 600, path: str | None = None) -> DataFrame:
