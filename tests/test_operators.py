@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.functions.words import splitter, word_edges
 from textloom.operators import boolquery, index, invert, kv, neardup, segment, sentences, spell, stats, urlfeatures
 from textloom.streaming.sources import search_stream, socket_sink, table_stream
 
@@ -398,3 +400,21 @@ def test_a_key_makes_few_calls_to_its_state():
     ms.clear()
     assert feed(row(8, 60, "set", 6.0, 0), row(9, 99_999, "get")) == [(9, 6.0)] and ms == ["get", "update", ("delete", end(80))]
     assert list(p.handleInputRows((1,), iter([row(10, 60, "set", None)]), None)) == [] and fake.value[2] is None
+
+
+def test_texts_are_split_outside_the_jvm(spark):
+    """A text goes to Python as it is, not as a list of words, and only the columns asked for come back; its words are those of the regular expression."""
+    plan = index.delta_rows(spark.range(9).selectExpr("id doc_id", "'a b' text")).select("term", "doc_id", "gap")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "nth" not in plan
+    rng = random.Random(7)
+    some = [*"aZ _09\n\0éЯ中ßİΣ́", "\U0001f600", "\U00020000", "\U00010400", *map(chr, range(0x80, 0xD800, 61)), *map(chr, range(0xE000, 0x110000, 4999))]
+    texts = ["", *("".join(rng.choices(some[:16] if k % 2 else some, k=rng.choice([0, 1, 2, 9, 200]))) for k in range(600)), "a", "b", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = d.select("doc_id", F.lower("text").alias("low"), T.words(F.col("text")).alias("w")).orderBy("doc_id").toArrow().combine_chunks()
+    low, want = got.column("low").combine_chunks(), got.column("w").to_pylist()
+    split = splitter(word_edges())
+    for part, lists in ((low, want), (low.slice(5, 90), want[5:95]), (low.slice(0, 1), [[]]), (low.slice(0, 0), [])):
+        words, n = split(part)
+        assert words.to_pylist() == sum(lists, []) and n.tolist() == list(map(len, lists))
+    pairs = {(w, k) for k, lists in enumerate(want) for w in lists}
+    assert {(r.term, r.doc_id) for r in index.delta_rows(d).collect()} == pairs
