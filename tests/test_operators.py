@@ -418,3 +418,23 @@ def test_texts_are_split_outside_the_jvm(spark):
         assert words.to_pylist() == sum(lists, []) and n.tolist() == list(map(len, lists))
     pairs = {(w, k) for k, lists in enumerate(want) for w in lists}
     assert {(r.term, r.doc_id) for r in index.delta_rows(d).collect()} == pairs
+
+
+def test_parts_are_shuffled_in_buckets(spark, monkeypatch):
+    """A bucket's parts go to the shuffle as one row, and come back one list after another whatever was cut between them."""
+    rows = [(f"t{k % 37}é" * (1 + k % 30), k % 3 - 1, [k, k + 1]) for k in range(400)]
+    few = [pa.RecordBatch.from_pydict({"term": [r[0] for r in f], "block": [r[1] for r in f], "at": [r[2] for r in f]}, schema=index.PARTS) for f in (rows[:150], rows[150:399], rows[399:])]
+    for chunk, size, batch in ((1 << 21, 1 << 25, 1000), (300, 8, 3)):
+        monkeypatch.setattr(index, "CHUNK", chunk)
+        monkeypatch.setattr(index, "CHUNK_BYTES", size)
+        sent = pa.Table.from_batches(index.packed(iter(few), 7))
+        assert len(sent) <= 7 * (1 if chunk > 300 else 3)
+        back = pa.Table.from_batches(index.unpacked(iter(sent.sort_by("bucket").combine_chunks().to_batches(batch)))).to_pylist()
+        assert sorted((r["term"], r["block"], r["at"]) for r in back) == sorted(rows)
+        keys = [(r["term"], r["block"]) for r in back]
+        assert sum(a != b for a, b in zip(keys, keys[1:])) == len(set(keys)) - 1
+    assert list(index.packed(iter([]), 7)) == list(index.unpacked(iter([]))) == []
+    files = index.postings(spark.range(500).selectExpr("id * 9999 doc_id", "concat('w', id % 91, ' w', id % 7) text")).rdd.glom().collect()
+    assert all(f == sorted(f, key=lambda r: (r.term, r.block)) for f in files)
+    plan = index.delta_rows(spark.range(9).selectExpr("id doc_id", "'a b' text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(bucket" in plan

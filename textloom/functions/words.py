@@ -29,18 +29,25 @@ def word_edges() -> np.ndarray:
     return _edges(WORD)
 
 
+def bytes_of(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, and where each begins and the last ends."""
+    strings = strings.cast(pa.string())
+    _, ends, data = strings.buffers()
+    if not len(strings) or not data:
+        return np.zeros(0, np.uint8), np.zeros(len(strings) + 1, np.int32)
+    ends = np.frombuffer(ends, np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
 def splitter(edges: np.ndarray):
     """A function of a string array to the words of its texts, in their order, and the number of words of each text."""
     table = np.repeat(np.arange(len(edges) + 1) % 2 == 1, np.diff(edges, prepend=0, append=POINTS))
     byte = np.append(table[:128], np.zeros(128, bool))
 
     def split(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
-        texts = texts.cast(pa.string())
-        _, ends, data = texts.buffers()
-        if not len(texts) or not data:
+        raw, ends = bytes_of(texts)
+        if not len(raw):
             return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
-        ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
-        raw, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
         inside = byte[raw]
         lead = np.flatnonzero(raw >= 0xC0)
         size = 2 + (raw[lead] >= 0xE0) + (raw[lead] >= 0xF0)
